@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The code points that Unicode counts as white space in Python's ``str.isspace``.
 WS_CLASS = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
@@ -26,7 +27,7 @@ def _fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_table()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC; null stays null."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
