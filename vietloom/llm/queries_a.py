@@ -4,8 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import formatting_dups
-from .common import read
+from . import formatting_dups, leaks, split_overlap
+from .common import read, spread
+
+
+def _overlaps(spark, d):
+    return split_overlap.overlaps(spread(read(spark, d, "gold").select("id", "split", "input_text")), "id", "input_text", "split")
+
+
+def p1_found(spark, d):
+    o = _overlaps(spark, d)
+    return o.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+
+
+def p1_report(spark, d):
+    """Overlapping records and their best coverage per split and dataset, with all records of each."""
+    best = _overlaps(spark, d).groupBy(F.col("eval_id").alias("id")).agg(F.count("*").alias("n"), F.max(1 - F.col("distance") / F.col("n_words")).alias("cover"))
+    g = read(spark, d, "gold").where("split in ('dev', 'test')").select("id", "split", "dataset")
+    return g.join(best, "id", "left").groupBy("split", "dataset").agg(
+        F.count("*").alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.avg("cover"), 9).alias("mean_coverage"))
 
 
 def _raw(spark, d):
@@ -22,4 +39,18 @@ def p2_collapsed(spark, d):
     return formatting_dups.collapsed(_raw(spark, d), "raw_id", "input_text", "original_source").withColumnRenamed("first_id", "raw_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed}
+def p5_found(spark, d):
+    g = read(spark, d, "gold").where("split in ('dev', 'test')").select("id", "input_text", "target_text")
+    c = read(spark, d, "corpus").select("id", "input_text")
+    return leaks.leaks(c, "id", "input_text", g, "id", ["input_text", "target_text"]).withColumnRenamed("item_id", "gold_id")
+
+
+def p5_rates(spark, d):
+    """Per source: records, records with a leak, leaked items."""
+    hit = p5_found(spark, d).groupBy("corpus_id").agg(F.count("*").alias("items"))
+    c = read(spark, d, "corpus").select(F.col("id").alias("corpus_id"), "original_source")
+    return c.join(hit, "corpus_id", "left").groupBy("original_source").agg(
+        F.count("*").alias("n_records"), F.count("items").alias("n_leaking"), F.round(F.count("items") / F.count("*"), 9).alias("rate"), F.coalesce(F.sum("items"), F.lit(0)).alias("n_links"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p5_found": p5_found, "p5_rates": p5_rates}

@@ -1,3 +1,51 @@
-"""Queries of problems 8, 9 and 10."""
+"""Queries of problems 8, 9 and 10: tokens, packing, shared spans."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import written
+from . import packing, shared_spans, tokens
+from .common import read
+
+
+def _docs(spark, d):
+    return read(spark, d, "documents").select("doc_id", "text")
+
+
+def p8_ids(spark, d):
+    return tokens.encode(_docs(spark, d), "doc_id", "text")
+
+
+def p8_roundtrip(spark, d):
+    """How many texts come back exactly from their ids, and the tokens they took."""
+    docs, ids = _docs(spark, d), p8_ids(spark, d)
+    back = tokens.decode(ids, "doc_id").withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").join(ids, "doc_id").agg(
+        F.count("*").alias("n_texts"), F.count_if(F.coalesce("text", F.lit("")) == F.col("back")).alias("n_exact"), F.sum(F.size("ids")).alias("n_tokens"))
+
+
+def p9_pack(spark, d):
+    sizes = p8_ids(spark, d).select("doc_id", F.size("ids").alias("n"))
+    return packing.pack(written(sizes, "sizes"), "doc_id", "n")
+
+
+def p9_report(spark, d):
+    """Containers by length, and the share of their space left unused."""
+    c = p9_pack(spark, d).groupBy("container", "length").agg(F.sum("size").alias("used"))
+    return c.groupBy("length").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.round(1 - F.sum("used") / F.sum("length"), 9).alias("unused_share"))
+
+
+def p10_found(spark, d):
+    return shared_spans.shared(_docs(spark, d), "doc_id", "text").select("doc_id")
+
+
+def p10_shares(spark, d):
+    """Of every document the share of its characters that also stands elsewhere."""
+    s = shared_spans.shared(_docs(spark, d), "doc_id", "text").select("doc_id", "n_shared")
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    out = _docs(spark, d).select("doc_id", n.alias("n_chars")).join(s, "doc_id", "left")
+    return out.select("doc_id", "n_chars", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.round(F.coalesce(F.try_divide("n_shared", "n_chars"), F.lit(0.0)), 9).alias("share"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_pack": p9_pack, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
