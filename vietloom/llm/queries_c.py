@@ -1,3 +1,58 @@
-"""Queries of problems 3, 4, 6 and 7."""
+"""Queries of problems 3, 4, 6 and 7: defective pairs, garbled text, abuse, private data."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import pii, toxicity
+from .common import read, spread
+
+TOXIC_FROM = 0.25
+
+
+def _corpus(spark, d):
+    return spread(read(spark, d, "corpus").select("id", "original_source", "input_text"))
+
+
+def _toxicity(spark, d):
+    c = _corpus(spark, d)
+    channel, model = toxicity.learn(c, "input_text", read(spark, d, "toxicity_labels"), "toxic")
+    return toxicity.scores(c, "id", "input_text", channel, model)
+
+
+def p6_found(spark, d):
+    return _toxicity(spark, d).where(F.col("score") > TOXIC_FROM).select("id").distinct()
+
+
+def p6_scores(spark, d):
+    return _toxicity(spark, d)
+
+
+def p6_rates(spark, d):
+    s = _toxicity(spark, d).join(_corpus(spark, d).select("id", "original_source"), "id")
+    return s.groupBy("original_source").agg(F.count("*").alias("n_records"), F.count_if(F.col("score") > TOXIC_FROM).alias("n_toxic"), F.avg("score").alias("mean_score"))
+
+
+def _private(spark, d):
+    c, g = read(spark, d, "corpus"), read(spark, d, "gold")
+    model = pii.train(pii.sample(c, "input_text"))
+    rows = (
+        c.select("id", F.lit("input_text").alias("field_name"), F.col("input_text").alias("t"))
+        .unionByName(g.select("id", F.lit("input_text").alias("field_name"), F.col("input_text").alias("t")))
+        .unionByName(g.select("id", F.lit("target_text").alias("field_name"), F.col("target_text").alias("t")))
+    )
+    keyed = spread(rows).select(F.struct("id", "field_name").alias("k"), "t")
+    return pii.annotate(keyed, "k", "t", model)
+
+
+def p7_found(spark, d):
+    a = _private(spark, d).where(F.size("spans") > 0)
+    return a.select("id.id", "id.field_name", F.explode("spans.pii_type").alias("pii_type")).distinct()
+
+
+def p7_redacted(spark, d):
+    """Every text with typed placeholders for its private data."""
+    return _private(spark, d).select("id.id", "id.field_name", "redacted", F.size("spans").alias("n_spans"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates, "p7_found": p7_found, "p7_redacted": p7_redacted}
