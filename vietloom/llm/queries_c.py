@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import pii, toxicity
+from . import mojibake, pii, toxicity
 from .common import read, spread
 
 TOXIC_FROM = 0.25
@@ -14,6 +14,21 @@ def _corpus(spark, d):
     return spread(read(spark, d, "corpus").select("id", "original_source", "input_text"))
 
 
+def p4_found(spark, d):
+    return mojibake.restore(_corpus(spark, d), "id", "input_text", "original_source").where("garbled").select("id").distinct()
+
+
+def p4_restored(spark, d):
+    """Every record with its text, restored where that could be done."""
+    c = _corpus(spark, d)
+    r = mojibake.restore(c, "id", "input_text", "original_source").where("garbled").dropDuplicates(["id"])
+    return c.join(r, "id", "left").select("id", "original_source", F.coalesce("garbled", F.lit(False)).alias("garbled"), F.coalesce("restored", "input_text").alias("text"))
+
+
+def p4_rates(spark, d):
+    return p4_restored(spark, d).groupBy("original_source").agg(F.count("*").alias("n_records"), F.count_if("garbled").alias("n_garbled"))
+
+
 def _toxicity(spark, d):
     c = _corpus(spark, d)
     channel, model = toxicity.learn(c, "input_text", read(spark, d, "toxicity_labels"), "toxic")
@@ -55,4 +70,4 @@ def p7_redacted(spark, d):
     return _private(spark, d).select("id.id", "id.field_name", "redacted", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates, "p7_found": p7_found, "p7_redacted": p7_redacted}
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p4_rates": p4_rates, "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates, "p7_found": p7_found, "p7_redacted": p7_redacted}
