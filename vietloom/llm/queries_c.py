@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mojibake, pii, toxicity
+from . import mojibake, pairs, pii, toxicity
 from .common import read, spread
 
 TOXIC_FROM = 0.25
@@ -14,6 +14,25 @@ def _corpus(spark, d):
     return spread(read(spark, d, "corpus").select("id", "original_source", "input_text"))
 
 
+def _pairs(spark, d):
+    """(id, answer_field, input_text, answer): both kinds of answers."""
+    c = read(spark, d, "candidates").select("id", "input_text", "candidate_text").distinct()
+    e = read(spark, d, "review_results").where("decision = 'EDIT'").select(F.col("sample_id").alias("id"), "corrected_text").distinct()
+    one = c.select("id", "input_text").dropDuplicates(["id"])
+    edits = e.join(one, "id", "left").select("id", F.lit("corrected_text").alias("answer_field"), "input_text", F.col("corrected_text").alias("answer"))
+    return c.select("id", F.lit("candidate_text").alias("answer_field"), "input_text", F.col("candidate_text").alias("answer")).unionByName(edits)
+
+
+def p3_found(spark, d):
+    model = pairs.train(pairs.sample(read(spark, d, "candidates"), "input_text", "candidate_text"))
+    return pairs.flag(_pairs(spark, d), ["id", "answer_field"], "input_text", "answer", model).distinct()
+
+
+def p3_counts(spark, d):
+    """Defects per answer field and kind."""
+    return p3_found(spark, d).groupBy("answer_field", "defect").agg(F.count("*").alias("n"))
+
+
 def p4_found(spark, d):
     return mojibake.restore(_corpus(spark, d), "id", "input_text", "original_source").where("garbled").select("id").distinct()
 
@@ -70,4 +89,4 @@ def p7_redacted(spark, d):
     return _private(spark, d).select("id.id", "id.field_name", "redacted", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p4_rates": p4_rates, "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates, "p7_found": p7_found, "p7_redacted": p7_redacted}
+QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_restored": p4_restored, "p4_rates": p4_rates, "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates, "p7_found": p7_found, "p7_redacted": p7_redacted}
