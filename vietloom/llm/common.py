@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -113,7 +113,7 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame, *cols: str | Column) -> DataFrame:
-    """More tasks than files give, by rows alone; for small tables with much work per row."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, 8)
-    return df.repartition(n, *cols) if df.sparkSession.sparkContext.defaultParallelism > 1 else df
+def spread(df: DataFrame) -> DataFrame:
+    """At least a task a core where a small table lies in fewer files than that; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -39,8 +39,6 @@ LOST = "�"
 #: Signs that stand in clean text: ASCII, the letters, their combining marks, common punctuation and drawings.
 _CLEAN = "\\x00-\\x7F" + "".join(c for c in ALPHA if ord(c) > 127) + "\\u0300-\\u0303\\u0306\\u0309\\u031B\\u0323\\u2010-\\u2026\\u200B-\\u200D\\uFE0E\\uFE0F\\u2190-\\u21FF\\u2600-\\u27BF\\u2B00-\\u2BFF\\x{1F000}-\\x{1FAFF}\\x{E0020}-\\x{E007F}"
 _UP = "".join(c for c in LOWER.upper() if ord(c) > 127)
-#: Rows that match none of this hold nothing to restore.
-SUSPECT = f"[^{_CLEAN}]|[a-z][{_UP}][a-z]|\\?.?\\p{{L}}\\?"
 #: Letters that older Vietnamese fonts write after a vowel as its mark, as Latin-1 shows them.
 VNI_ONLY, VNI_ALL = "ïëäåøûüæ", "ùøûõïâêáàåãäëéèúüôÙØÛÕÏÂÊÁÀÅÃÄËÉÈÚÜ"
 VOWELS = "aeiouyAEIOUYôöÔÖ"
@@ -109,6 +107,38 @@ def _lead(c: str) -> int:
 _foreign = re.compile(f"[^{_CLEAN}]".replace("\\x{1F000}-\\x{1FAFF}", "\U0001f000-\U0001faff").replace("\\x{E0020}-\\x{E007F}", "\U000e0020-\U000e007f"))
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Per code point: 1 foreign, 2 capital with a mark, 4 ASCII small letter, 8 question mark, 16 letter."""
+    k = np.zeros(0x110000, np.uint8)
+    for cp in [*range(0x3000), *range(0xA000, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0100)]:
+        c = chr(cp)
+        k[cp] = 1 * bool(_foreign.match(c)) + 2 * (c in _UP) + 4 * ("a" <= c <= "z") + 8 * (c == "?") + 16 * c.isalpha()
+    k[0x3000:0xA000] = 1
+    k[0xD800:0xE000] = 1
+    k[0x20000:0xE0000] = 1
+    k[0xE0100:] = 1
+    return k
+
+
+def suspects(texts: list[str | None]) -> np.ndarray:
+    """Whether each text holds a foreign sign, a marked capital between small letters, or question marks in words.
+
+    Texts without any of these hold nothing to restore.
+    """
+    off, cp = codes(texts)
+    k = _kinds()[cp]
+    hit = (k & 1) > 0
+    if len(k) > 2:
+        inner = np.zeros(len(k), bool)
+        inner[1:-1] = ((k[:-2] & 4) > 0) & ((k[1:-1] & 2) > 0) & ((k[2:] & 4) > 0) | ((k[:-2] & 16) > 0) & ((k[1:-1] & 8) > 0) & ((k[2:] & 16) > 0)
+        full = off[1:] > off[:-1]
+        inner[off[:-1][full]] = inner[off[1:][full] - 1] = False  # no run across texts
+        hit |= inner
+    n = np.concatenate([[0], np.cumsum(hit)])
+    return n[off[1:]] > n[off[:-1]]
+
+
 def units(token: str, vni: bool) -> list[str]:
     """Cipher units of a token in order; clean letters are units of themselves."""
     out, i, n = [], 0, len(token)
@@ -153,13 +183,14 @@ def bigrams(df: DataFrame, text: str) -> np.ndarray:
     def count(batches):
         total = np.zeros(N * N, np.int64)
         for b in batches:
-            off, cp = codes([f" {unicodedata.normalize('NFC', t)} " for t in b.column("t").to_pylist()])
+            t = b.column("t").to_pylist()
+            off, cp = codes([f" {unicodedata.normalize('NFC', x)} " for x, bad in zip(t, suspects(t), strict=True) if not bad])
             k = table[np.minimum(cp, 0x1FFF)]
             total += np.bincount(k[:-1] * N + k[1:], minlength=N * N)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "n"])
 
-    rows = df.where(F.col(text).isNotNull() & ~F.col(text).rlike(SUSPECT)).select(F.col(text).alias("t")).mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
     c = np.full(N * N, 0.01)
     if rows.num_rows:
         c[rows["g"].to_numpy()] += rows["n"].to_numpy()
@@ -176,6 +207,8 @@ def contexts(df: DataFrame, text: str, source: str) -> list[tuple[str | None, st
     def run(batches):
         for b in batches:
             c: Counter = Counter()
+            texts = b.column("t").to_pylist()
+            b = b.filter(pa.array(suspects(texts)))
             for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True):
                 t = unicodedata.normalize("NFC", t)
                 vni = _is_vni(t)
@@ -188,7 +221,7 @@ def contexts(df: DataFrame, text: str, source: str) -> list[tuple[str | None, st
             cols = list(zip(*((*k, n) for k, n in c.items()), strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in cols[:4]), pa.array(cols[4], pa.int64())], names=["s", "u", "a", "z", "n"])
 
-    rows = df.where(F.col(text).rlike(SUSPECT)).select(F.col(source).alias("s"), F.col(text).alias("t")).mapInArrow(run, "s string, u string, a string, z string, n long")
+    rows = df.where(F.col(text).isNotNull()).select(F.col(source).alias("s"), F.col(text).alias("t")).mapInArrow(run, "s string, u string, a string, z string, n long")
     return [tuple(r) for r in rows.groupBy("s", "u", "a", "z").agg(F.sum("n")).collect()]
 
 
@@ -312,8 +345,9 @@ def restore(df: DataFrame, id_col: str, text: str, source: str, least: float = -
 
     def run(batches):
         for b in batches:
+            b = b.filter(pa.array(suspects(b.column("t").to_pylist())))
             done = [r.row(t, s, least) for t, s in zip(b.column("t").to_pylist(), b.column("s").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x for x, _ in done], pa.bool_()), pa.array([x for _, x in done], pa.string())], names=["id", "garbled", "restored"])
 
-    rows = df.where(F.col(text).rlike(SUSPECT)).select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(source).alias("s"))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(source).alias("s"))
     return rows.mapInArrow(run, f"id {kind}, garbled boolean, restored string").withColumnRenamed("id", id_col)
