@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,6 +17,11 @@ from .text import WS_CLASS
 EDITS = ArrayType(StructType([StructField("src", StringType()), StructField("tgt", StringType())]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """White-space tokens, none of them empty."""
     return F.array_remove(F.split(c, WS_CLASS + "+"), "")
@@ -27,10 +33,11 @@ def token_levenshtein(a: Column, b: Column) -> Column:
     Positions in the pair's own vocabulary are written as UTF-16 code units below the surrogates, so it holds for up
     to 35,000 distinct tokens in a pair.
     """
-    vocab = F.array_distinct(F.concat(a, b))
-    one = lambda x: F.lpad(F.hex(F.array_position(vocab, x) + 19967), 4, "0")
-    text = lambda t: F.decode(F.unhex(F.array_join(F.transform(t, one), "")), "UTF-16BE")
-    return F.levenshtein(text(a), text(b)).cast("long")
+    one = lambda v, x: F.lpad(F.hex(F.array_position(v, x) + 19967), 4, "0")
+    text = lambda v, t: F.decode(F.unhex(F.array_join(F.transform(t, lambda x: one(v, x)), "")), "UTF-16BE")
+    # the arrays are bound once as lambda arguments: written out in the inner lambda they would be made per token
+    both = let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.concat(s["a"], s["b"])).alias("v")))
+    return let(both, lambda s: F.levenshtein(text(s["v"], s["a"]), text(s["v"], s["b"]))).cast("long")
 
 
 @F.pandas_udf(EDITS)

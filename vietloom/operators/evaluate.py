@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.edits import token_edits, token_levenshtein, tokens
+from ..functions.edits import let, token_edits, token_levenshtein, tokens
+from ..session import written
+from .ranking import rank_within
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -16,7 +18,8 @@ def ratio(a: Column, b: Column) -> Column:
 def multiset_common(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays: for each distinct value the lesser count."""
     count = lambda xs, v: F.size(F.filter(xs, lambda y: y == v))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v))).cast("long")
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    return let(pair, lambda p: F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda acc, v: acc + F.least(count(p["a"], v), count(p["b"], v)))).cast("long")
 
 
 def row_stats(df: DataFrame) -> DataFrame:
@@ -74,13 +77,12 @@ def draw(replicate: Column, slot: Column, n: Column, seed: int) -> Column:
 def bootstrap_err(stats: DataFrame, a: str, b: str, replicates: int, seed: int) -> DataFrame:
     """Paired bootstrap of the difference in error reduction, ``a`` minus ``b``: mean and the 95 % interval.
 
-    ``stats`` is reduced to how often each pair of integer statistics occurs, a table bounded by text lengths squared;
-    replicates draw from its cumulative counts, so the work is replicates times distinct statistics.
+    Texts are reduced to integers per row once; replicates only sum drawn rows, with map-side sums per replicate. The
+    last window sorts one row per replicate.
     """
-    w = Window.orderBy("id")
     x = stats.where(F.col("model").isin(a, b)).groupBy("id").agg(
         F.max("lai_token_errors").alias("lai"), F.max(F.when(F.col("model") == a, F.col("system_token_errors"))).alias("ea"), F.max(F.when(F.col("model") == b, F.col("system_token_errors"))).alias("eb"))
-    x = x.withColumn("row", (F.row_number().over(w) - 1).cast("long")).select("row", "lai", "ea", "eb")
+    x = written(rank_within(x, [], ["id"], "row").select((F.col("row") - 1).alias("row"), "lai", "ea", "eb"), "stats")
     spark = stats.sparkSession
     n = x.count()
     grid = spark.range(replicates * max(n, 1)).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), (F.col("id") % max(n, 1)).alias("slot"))
