@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import MULT, U, as_long, codes, mix, ragged
+from .common import MULT, U, as_long, bitmap, codes, in_bitmap, mix, ragged
 
 GRAM = 60
 
@@ -90,12 +90,20 @@ def windows(docs: DataFrame, span: int) -> DataFrame:
                 g, is_anchor, _, _ = anchors(off, cp, span)
                 at = np.nonzero(is_anchor)[0]
                 row = np.searchsorted(off, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([as_long(g[at]), part.column("k").take(pa.array(row))], names=["h", "k"])
+                once = np.unique(np.stack([row.astype(U), g[at]], 1), axis=0)  # an anchor once a text
+                yield pa.RecordBatch.from_arrays([as_long(np.ascontiguousarray(once[:, 1])), part.column("k").take(pa.array(once[:, 0].astype(np.int64)))], names=["h", "k"])
 
-    seen = docs.select("k", "t").mapInArrow(find, "h long, k long").distinct()
+    seen = docs.select("k", "t").mapInArrow(find, "h long, k long")
     common = seen.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h")
-    hits = seen.join(common, "h").groupBy("k").agg(F.collect_list("h").alias("hits"))  # a text's own anchors only
+    hits = written(seen.join(common, "h").groupBy("k").agg(F.collect_set("h").alias("hits")), "hits")  # a text's own anchors only
     one = docs.groupBy("k").agg(F.min("id").alias("id"))
+    bits = bitmap(hits, "k")
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(bits, b.column("k").to_numpy())))
+
+    few = docs.mapInArrow(keep, docs.schema)  # only texts that may have hits travel
 
     def expand(batches):
         for b in batches:
@@ -109,7 +117,7 @@ def windows(docs: DataFrame, span: int) -> DataFrame:
                     names=["w1", "w2", "k", "start"],
                 )
 
-    return docs.join(hits.join(one, "k"), ["k", "id"]).select("k", "t", "hits").mapInArrow(expand, "w1 long, w2 long, k long, start int")
+    return few.join(hits.join(one, "k"), ["k", "id"]).select("k", "t", "hits").mapInArrow(expand, "w1 long, w2 long, k long, start int")
 
 
 def shared(df: DataFrame, id_col: str, text: str, span: int = 120) -> DataFrame:
