@@ -89,7 +89,7 @@ def _letter(unit: str) -> str | None:
             if len(x) == 1:
                 if x in INDEX:
                     return x
-                if best is None and unicodedata.category(x)[0] in "LPSM":
+                if best is None and (unicodedata.category(x)[0] in "LPSM" or 0x80 <= ord(x) <= 0xFF):
                     best = x
     return best
 
@@ -325,6 +325,9 @@ class Restorer:
                 new, sure = self.word(core, source, vni)
                 if new == core:
                     continue
+                if not sure and suspect(new):  # garbled twice: letters show only a pass further on
+                    again, sure = self.word(new, source, vni)
+                    new = again if sure else new
                 bare = "".join(c for c in new if c.isalpha())
                 letters = sum(c.isalpha() for c in core)
                 reads = new == bare and letters >= 1 and len(new) > 1 and self.likely(new) > max(least, self.likely(core) + 0.5)
