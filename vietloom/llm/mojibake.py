@@ -229,7 +229,7 @@ def learn(rows: list[tuple[str, str, str, int]], logb: np.ndarray, prior: dict[s
     """Expectation-maximization of P(letter | unit) from (unit, left, right, count)."""
     b = np.exp(logb)
     freq = b.mean(0) + 1e-6
-    freq[0] = 1e-6  # a unit is a letter
+    freq[0] = 0.0
     names = sorted({u for u, *_ in rows})
     at = {u: i for i, u in enumerate(names)}
     base = np.empty((len(names), N))
@@ -239,12 +239,13 @@ def learn(rows: list[tuple[str, str, str, int]], logb: np.ndarray, prior: dict[s
         if x in INDEX:
             p[INDEX[x]] += 1e9
         for y in _known(u):
-            p[INDEX[y]] += 2
+            p[INDEX[y]] += 60
         if len(u) == 1 and u in INDEX:
             p[INDEX[u]] += 1
         elif len(u) == 2 and u[0] in INDEX and x not in INDEX:  # a vowel and its mark: the same vowel, most likely
             same = [INDEX[c] for c in ALPHA if c != " " and unicodedata.normalize("NFD", c)[0] == unicodedata.normalize("NFD", u[0])[0]]
             p[same] += 1.0 / len(same)
+        p[0] = 0
         base[i] = p if prior is None or u not in prior else p * 0.2 + 3 * prior[u]
     theta = base / base.sum(1, keepdims=True)
     if not rows:
@@ -257,6 +258,7 @@ def learn(rows: list[tuple[str, str, str, int]], logb: np.ndarray, prior: dict[s
     for _ in range(rounds):
         known = np.concatenate([np.eye(N), theta])
         q = theta[u] * (known[left] @ b) * (known[right] @ b.T) + 1e-300
+        q[:, 0] = 0  # a unit is a letter, never a gap
         q /= q.sum(1, keepdims=True)
         new = base.copy()
         np.add.at(new, u, q * n[:, None])
