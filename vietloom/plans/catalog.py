@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("curation", "sampling", "review", "evaluation", "mixing")
+_MODULES = ("curation", "sampling", "review", "evaluation", "mixing", "checks")
 
 
 def _all(name: str) -> dict:
