@@ -54,3 +54,18 @@ def p5_rates(spark, d):
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p5_found": p5_found, "p5_rates": p5_rates}
+
+_FOLD = r"regexp_replace(lower(nfc_normalize(coalesce({c}, ''))), '[\p{P}\p{Z}\p{C}$+<=>^`|~\x{FE0E}\x{FE0F}]', '', 'g')"
+_WORDS = r"list_filter(regexp_split_to_array(replace(strip_accents(lower({c})), 'đ', 'd'), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_P5 = f"""WITH c AS (SELECT id, {_WORDS.replace("{c}", "input_text")} AS w FROM corpus), g AS (SELECT id, {_WORDS.replace("{c}", "t")} AS w FROM (SELECT id, unnest([input_text, target_text]) AS t FROM gold WHERE split IN ('dev', 'test'))),
+ cw AS (SELECT DISTINCT id, array_to_string(w[k:k + 13], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 12)) AS k FROM c WHERE len(w) >= 14)),
+ gw AS (SELECT DISTINCT id, array_to_string(w[k:k + 13], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 12)) AS k FROM g WHERE len(w) >= 14)),
+ p5 AS (SELECT DISTINCT cw.id AS corpus_id, gw.id AS gold_id FROM cw JOIN gw USING (s))"""
+_P2 = f"""WITH x AS (SELECT raw_id, payload->>'input_text' AS t, payload->>'original_source' AS s FROM raw_source), k AS (SELECT raw_id, {_FOLD.replace("{c}", "t")} AS t, CASE WHEN s IS NOT NULL THEN {_FOLD.replace("{c}", "s")} END AS s FROM x WHERE regexp_matches(t, '[^\\s\\p{{Z}}\\p{{C}}]')),
+ f AS (SELECT min(raw_id) OVER (PARTITION BY t, s) AS first_raw_id, raw_id, count(*) OVER (PARTITION BY t, s) AS n FROM k)"""
+ORACLE = {
+    "p2_found": f"{_P2} SELECT first_raw_id, raw_id AS copy_raw_id FROM f WHERE raw_id <> first_raw_id",
+    "p2_collapsed": f"{_P2} SELECT raw_id, n AS n_copies FROM f WHERE raw_id = first_raw_id",
+    "p5_found": f"{_P5} SELECT * FROM p5",
+    "p5_rates": f"{_P5}, h AS (SELECT corpus_id, count(*) AS n FROM p5 GROUP BY 1) SELECT original_source, count(*) AS n_records, count(n) AS n_leaking, round(count(n) / count(*), 9) AS rate, coalesce(sum(n), 0)::BIGINT AS n_links FROM corpus LEFT JOIN h ON h.corpus_id = corpus.id GROUP BY 1",
+}

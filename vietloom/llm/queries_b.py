@@ -49,3 +49,10 @@ def p10_shares(spark, d):
 
 
 QUERIES = {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_pack": p9_pack, "p9_report": p9_report, "p10_found": p10_found, "p10_shares": p10_shares}
+
+_P10 = """WITH w AS (SELECT doc_id, k, text[k:k + 119] AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS k FROM documents WHERE length(text) >= 120)),
+ c AS (SELECT doc_id, k FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1)), n AS (SELECT doc_id, sum(least(k - coalesce(p, k - 120), 120))::BIGINT AS n_shared FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM c) GROUP BY 1)"""
+ORACLE = {
+    "p10_found": f"{_P10} SELECT doc_id FROM n",
+    "p10_shares": f"{_P10} SELECT doc_id, length(coalesce(text, '')) AS n_chars, coalesce(n_shared, 0) AS n_shared, round(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE coalesce(n_shared, 0) / length(text) END, 9)::DOUBLE AS share FROM documents LEFT JOIN n USING (doc_id)",
+}
