@@ -36,7 +36,7 @@ def test_plan_packs_tight():
             used[s] = used.get(s, 0) + times
     assert used == counts
     bins = sum(t for _, _, t in p)
-    assert bins <= total / 2048 * 1.02 + 1
+    assert bins <= max(total / 2048, sum(n for s, n in counts.items() if s > 1024)) * 1.02 + 1  # two items over half a container never share one
     small = packing.plan({100: 1}, (128, 2048))
     assert small == [((100,), 128, 1)] and packing.plan({}) == []
     with pytest.raises(ValueError):

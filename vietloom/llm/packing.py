@@ -111,11 +111,12 @@ def ranked(df: DataFrame, key: str, order: list[str], parts: int) -> DataFrame:
     return d.withColumn("_r", local).join(before, [key, "_s"]).withColumn("rank", (F.col("_r") + F.col("_b")).cast("long")).drop("_s", "_r", "_b")
 
 
-def pack(df: DataFrame, id_col: str, size: str, lengths: tuple[int, ...] = LENGTHS, parts: int = 64) -> DataFrame:
+def pack(df: DataFrame, id_col: str, size: str, lengths: tuple[int, ...] = LENGTHS, per_task: int = 1_000_000) -> DataFrame:
     """(id, piece, start, size, container, length): where each piece lies."""
     spark, cap = df.sparkSession, max(lengths)
     items = pieces(df, id_col, size, cap)
     counts = {r["size"]: r["n"] for r in items.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most ``cap`` rows
+    parts = max(64, -(-max(counts.values(), default=0) // per_task))  # rows of one size are ranked in so many parts
     rows, first = [], 1
     used = dict.fromkeys(counts, 0)
     for sizes, length, times in plan(counts, lengths):
