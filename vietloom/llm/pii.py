@@ -207,7 +207,9 @@ def plausible(kind: str, s: str) -> bool:
     if kind == "phone":
         return 9 <= digits + len(re.findall(r"(?i)(?<![^\W\d_])o(?=[\d .\-])", s)) <= 13 if digits else sum(fold(w) in _DIGIT for w in words) >= 9
     if kind == "id_number":
-        return digits in (9, 12) or digits in (7, 8) and len(words) == 1 and len(words[0]) == 1
+        if digits == 9:  # in one piece or by threes; order codes are grouped otherwise
+            return {len(x) for x in re.findall(r"\d+", s)} <= {9} or [len(x) for x in re.findall(r"\d+", s)] == [3, 3, 3]
+        return digits == 12 or digits in (7, 8) and len(words) == 1 and len(words[0]) == 1
     if kind == "address":
         return digits > 0 and len(words) >= 2
     if not 2 <= len(words) <= 5 or digits:
