@@ -30,6 +30,11 @@ def epochs(ids: DataFrame, id_col: str, per_epoch: int, count: int, seed: int) -
     return x.where(F.col("epoch") < count).select("epoch", "id")
 
 
+def share(ids: DataFrame, id_col: str, parts: int = 2, of: int = 5) -> int:
+    """The size of an epoch as a share of the pool, rounded up."""
+    return -(-ids.select(id_col).distinct().count() * parts // of)
+
+
 def coverage_epochs(ids: DataFrame, id_col: str, per_epoch: int, seed: int) -> DataFrame:
     """As many epochs as cover every id once; only the last tops up with ids used before."""
     n = ids.select(id_col).distinct().count()
@@ -37,8 +42,9 @@ def coverage_epochs(ids: DataFrame, id_col: str, per_epoch: int, seed: int) -> D
 
 
 def least_used(usage: DataFrame, count: int, order: Column) -> DataFrame:
-    """``count`` ids of the lowest exposure, ``order`` inside a level: a distributed top-n."""
-    return usage.withColumn("_h", order).orderBy("used", "_h", "id").limit(count).drop("_h")
+    """``count`` ids of the lowest exposure, ``order`` inside a level; by ranks, as ``count`` may grow with the pool."""
+    r = rank_within(usage.withColumn("_h", order), [], ["used", "_h", "id"], "_rn")
+    return r.where(F.col("_rn") <= count).drop("_h", "_rn", "_rn_n")
 
 
 def factorial(initial: DataFrame, expanded: DataFrame, id_col: str, per_epoch: int, count: int, seed: int) -> DataFrame:

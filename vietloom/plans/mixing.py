@@ -10,6 +10,7 @@ from ..operators import mixtures as M
 from .common import bucket, bucket_sql, clean_sql, read
 
 SEED, PER, COUNT, ARMS = 2026, 100, 14, 4
+WHOLE, WHOLE_ARMS = 7, 5
 
 
 def _initial(spark, d):
@@ -50,6 +51,42 @@ def q_factorial(spark, d):
     return x.groupBy("arm", "epoch").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_distinct"))
 
 
+def _whole_epochs(spark, d):
+    """Seven epochs of two fifths of the corpus: 2.8 rounds, every other round boundary inside an epoch."""
+    pool = _pool(spark, d)
+    return M.epochs(pool, "id", M.share(pool, "id"), WHOLE, SEED)
+
+
+def q_balanced_whole(spark, d):
+    return _whole_epochs(spark, d)
+
+
+def q_coverage_whole(spark, d):
+    pool = _pool(spark, d)
+    return M.coverage_epochs(pool, "id", M.share(pool, "id"), SEED)
+
+
+def q_exposure_whole(spark, d):
+    return M.exposure(_whole_epochs(spark, d), _pool(spark, d), "id")
+
+
+def q_validate_whole(spark, d):
+    pool = _pool(spark, d)
+    per = M.share(pool, "id")
+    return M.validated(M.epochs(pool, "id", per, WHOLE, SEED), pool, "id", per)
+
+
+def q_slots_whole(spark, d):
+    g = read(spark, d, "gold").where("split = 'dev'").select("id")
+    return M.slots(g, _whole_epochs(spark, d), SEED)
+
+
+def q_factorial_whole(spark, d):
+    """(arm, epoch, id) over two rounds of the small arm, so that from the third epoch on its repeats are replaced."""
+    small = _initial(spark, d)
+    return M.factorial(small, _pool(spark, d), "id", M.share(small, "id"), WHOLE_ARMS, SEED)
+
+
 def q_digest(spark, d):
     return M.ordered_digest(read(spark, d, "corpus"), "id", "id")
 
@@ -92,18 +129,27 @@ def q_status(spark, d):
 
 
 QUERIES = {
-    "balanced_epochs": q_balanced, "coverage_epochs": q_coverage, "exposure_histogram": q_exposure, "mixture_validate": q_validate, "slot_order": q_slots, "factorial_epochs": q_factorial, "order_digest": q_digest, "run_audit": q_audit,
+    "balanced_epochs": q_balanced, "coverage_epochs": q_coverage, "exposure_histogram": q_exposure, "mixture_validate": q_validate, "slot_order": q_slots, "factorial_epochs": q_factorial,
+    "balanced_epochs_whole": q_balanced_whole, "coverage_epochs_whole": q_coverage_whole, "exposure_histogram_whole": q_exposure_whole, "mixture_validate_whole": q_validate_whole, "slot_order_whole": q_slots_whole, "factorial_epochs_whole": q_factorial_whole, "order_digest": q_digest, "run_audit": q_audit,
     "file_inventory": q_inventory, "multiset_equality": q_same, "canonical_json": q_json, "token_confidence": q_confidence, "strip_diacritics": q_strip, "format_duration": q_duration, "generation_status": q_status,
 }
 
 _POOL = f"i AS (SELECT DISTINCT id FROM corpus WHERE {bucket_sql('id', 10)} < 4), p AS (SELECT id, row_number() OVER (ORDER BY sha256('{SEED}:' || id), id) - 1 AS r, count(*) OVER () AS n FROM i)"
 _EPOCHS = f"{_POOL}, e AS (SELECT ((r + k * n) // {PER})::BIGINT AS epoch, id FROM p, range({COUNT * PER}) t(k) WHERE r + k * n < {COUNT * PER})"
+_POOL_W = f"i AS (SELECT DISTINCT id FROM corpus), p AS (SELECT id, row_number() OVER (ORDER BY sha256('{SEED}:' || id), id) - 1 AS r, count(*) OVER () AS n FROM i), z AS (SELECT (2 * count(*) + 4) // 5 AS per FROM i)"
+_EPOCHS_W = f"{_POOL_W}, e AS (SELECT ((r + k * n) // per)::BIGINT AS epoch, id FROM p, z, range({WHOLE}) t(k) WHERE r + k * n < {WHOLE} * per)"
 ORACLE = {
     "balanced_epochs": f"WITH {_EPOCHS} SELECT * FROM e",
     "coverage_epochs": f"WITH {_POOL} SELECT ((r + k * n) // {PER})::BIGINT AS epoch, id FROM p, range(2) t(k) WHERE r + k * n < ceil(n / {PER}) * {PER}",
     "exposure_histogram": f"WITH {_EPOCHS} SELECT coalesce(t, 0) AS times, count(*) AS n_ids FROM i LEFT JOIN (SELECT id, count(*) AS t FROM e GROUP BY 1) USING (id) GROUP BY 1",
     "mixture_validate": f"WITH {_EPOCHS}, s AS (SELECT epoch, count(*) AS n, count(DISTINCT id) AS d FROM e GROUP BY 1) SELECT count(*) AS n_epochs, count_if(n <> {PER})::BIGINT AS wrong_size, count_if(n <> d)::BIGINT AS with_repeats, (SELECT count(*) FROM e WHERE id NOT IN (SELECT id FROM i)) AS foreign_ids, (SELECT count(*) FROM i WHERE id NOT IN (SELECT id FROM e)) AS unused_ids FROM s",
     "slot_order": f"""WITH {_EPOCHS}, x AS (SELECT epoch, g.id, 'gold' AS label_source, g.id AS place FROM (SELECT DISTINCT epoch FROM e), (SELECT id FROM gold WHERE split = 'dev') g UNION ALL SELECT epoch, id, 'pseudo', (row_number() OVER (PARTITION BY epoch ORDER BY id))::VARCHAR FROM e)
+ SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY sha256('{SEED}:' || epoch || ':' || label_source || ':' || place), id) - 1 AS slot, id, label_source FROM x""",
+    "balanced_epochs_whole": f"WITH {_EPOCHS_W} SELECT * FROM e",
+    "coverage_epochs_whole": f"WITH {_POOL_W} SELECT ((r + k * n) // per)::BIGINT AS epoch, id FROM p, z, range(2) t(k) WHERE r + k * n < ceil(n / per) * per",
+    "exposure_histogram_whole": f"WITH {_EPOCHS_W} SELECT coalesce(t, 0) AS times, count(*) AS n_ids FROM i LEFT JOIN (SELECT id, count(*) AS t FROM e GROUP BY 1) USING (id) GROUP BY 1",
+    "mixture_validate_whole": f"WITH {_EPOCHS_W}, s AS (SELECT epoch, count(*) AS n, count(DISTINCT id) AS d FROM e GROUP BY 1) SELECT count(*) AS n_epochs, count_if(n <> (SELECT per FROM z))::BIGINT AS wrong_size, count_if(n <> d)::BIGINT AS with_repeats, (SELECT count(*) FROM e WHERE id NOT IN (SELECT id FROM i)) AS foreign_ids, (SELECT count(*) FROM i WHERE id NOT IN (SELECT id FROM e)) AS unused_ids FROM s",
+    "slot_order_whole": f"""WITH {_EPOCHS_W}, x AS (SELECT epoch, g.id, 'gold' AS label_source, g.id AS place FROM (SELECT DISTINCT epoch FROM e), (SELECT id FROM gold WHERE split = 'dev') g UNION ALL SELECT epoch, id, 'pseudo', (row_number() OVER (PARTITION BY epoch ORDER BY id))::VARCHAR FROM e)
  SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY sha256('{SEED}:' || epoch || ':' || label_source || ':' || place), id) - 1 AS slot, id, label_source FROM x""",
     "order_digest": "WITH r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM corpus), b AS (SELECT k // 10000 AS block, sha256(string_agg(id, ',' ORDER BY k)) AS h, count(*) AS n FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, ',' ORDER BY block)) AS digest FROM b",
     "run_audit": """WITH i AS (SELECT id, count(*) AS n FROM candidates GROUP BY 1), a AS (SELECT count(*) AS n_rows, bool_and(model_a_confidence IS NOT NULL AND NOT isnan(coalesce(model_a_confidence, 0))) AS confidence_finite, bool_and((generation_status = 'generated_text') = (length(trim(coalesce(candidate_text, ''), ' ')) > 0)) AS status_fits_text,
