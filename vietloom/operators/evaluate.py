@@ -94,6 +94,31 @@ def bootstrap_err(stats: DataFrame, a: str, b: str, replicates: int, seed: int)
     return r.agg(F.count("*").alias("replicates"), F.avg("delta").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
 
 
+def f1(gold: Column, predicted: Column, correct: Column) -> Column:
+    p, r = ratio(correct, predicted), ratio(correct, gold)
+    return ratio(2 * p * r, p + r)
+
+
+def bootstrap_deltas(stats: DataFrame, a: str, b: str, replicates: int, seed: int) -> DataFrame:
+    """Paired bootstrap of the differences in F1 and in error reduction, ``a`` minus ``b``, from the same draws as
+    :func:`bootstrap_err`: one row (metric, replicates, mean, low, high) for each."""
+    both = ["gold_edits", "lai_token_errors"]
+    arms = [(m, k, c) for m, k in ((a, "a"), (b, "b")) for c in ("predicted_edits", "correct_edits", "system_token_errors")]
+    names = [*both, *[f"{c}_{k}" for _, k, c in arms]]
+    x = stats.where(F.col("model").isin(a, b)).groupBy("id").agg(*[F.max(c).alias(c) for c in both], *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{k}") for m, k, c in arms])
+    x = written(rank_within(x, [], ["id"], "row").select((F.col("row") - 1).alias("row"), *names), "stats")
+    n = max(x.count(), 1)
+    grid = stats.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("slot"))
+    s = grid.withColumn("row", draw(F.col("rep"), F.col("slot"), F.lit(n), seed)).join(x, "row").groupBy("rep").agg(*[F.sum(c).alias(c) for c in names])
+    f = lambda k: f1(F.col("gold_edits"), F.col(f"predicted_edits_{k}"), F.col(f"correct_edits_{k}"))
+    e = lambda k: err(F.col("lai_token_errors"), F.col(f"system_token_errors_{k}"))
+    pair = lambda name, d: F.struct(F.lit(name).alias("metric"), d.alias("delta"))
+    r = s.select("rep", F.explode(F.array(pair("f1", f("a") - f("b")), pair("ERR", e("a") - e("b")))).alias("x")).select("rep", "x.*")
+    r = r.withColumn("k", F.row_number().over(Window.partitionBy("metric").orderBy("delta", "rep")) - 1)
+    at = lambda q: F.max(F.when(F.col("k") == int(q * (replicates - 1)), F.col("delta")))
+    return r.groupBy("metric").agg(F.count("*").alias("replicates"), F.avg("delta").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
+
+
 def ranking(m: DataFrame, first: str = "model_a") -> DataFrame:
     """Models by error reduction, F1, exact match, and ``first`` before others."""
     return m.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ERR"), F.desc("f1"), F.desc("exact_match"), F.desc(F.col("model") == first))).cast("long"))

@@ -16,7 +16,7 @@ from ..operators import weak as W
 from ..operators.ranking import rank_within
 from .common import WS_SQL, bucket, bucket_sql, clean_sql, read
 
-SEED, REPLICATES = 2026, 200
+SEED, REPLICATES, RESAMPLES = 2026, 200, 2000
 
 
 def _predictions(spark, d):
@@ -104,6 +104,12 @@ def q_bootstrap(spark, d):
     return x.select("replicates", *[_r(c).alias(c) for c in ("mean", "low", "high")])
 
 
+def q_bootstrap_deltas(spark, d):
+    """The reference's resamples, of F1 and error reduction alike."""
+    x = E.bootstrap_deltas(E.row_stats(_predictions(spark, d)), "model_c", "model_b", RESAMPLES, SEED)
+    return x.select("metric", "replicates", *[_r(c).alias(c) for c in ("mean", "low", "high")])
+
+
 def q_first_errors(spark, d):
     e = _categories(spark, d).where("category <> 'correct'").select("model", "id", "category")
     return rank_within(e, ["model"], ["id"], "place").where("place <= 20").drop("place_n")
@@ -183,7 +189,7 @@ def q_lexical(spark, d):
 
 QUERIES = {
     "token_levenshtein": q_levenshtein, "token_edits": q_edits, "char_edit_ratio": q_ratio, "multiset_intersect": q_multiset, "metrics_err": _error_metrics, "metrics_edit_prf": q_metrics, "model_ranking": q_ranking, "two_model_rule": q_two,
-    "error_categories": q_categories, "category_histogram": q_histogram, "pairwise_contingency": q_contingency, "model_deltas": q_deltas, "pairwise_winner": q_winner, "bootstrap_ci": q_bootstrap, "first_errors": q_first_errors,
+    "error_categories": q_categories, "category_histogram": q_histogram, "pairwise_contingency": q_contingency, "model_deltas": q_deltas, "pairwise_winner": q_winner, "bootstrap_ci": q_bootstrap, "bootstrap_ci_deltas": q_bootstrap_deltas, "first_errors": q_first_errors,
     "early_stopping": q_stopping, "best_at_horizon": q_horizon, "loss_windows": q_windows, "factorial_effects": q_factorial, "weak_label_reasons": q_weak, "weak_label_drop_counts": q_weak_drops, "weak_label_edit_ratio": q_weak_edit,
     "weak_label_pivots": q_weak_pivot, "weak_union_prefix": q_prefix, "text_diff": q_diff, "lexical_tokens": q_lexical,
 }
