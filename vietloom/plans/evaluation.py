@@ -15,6 +15,8 @@ from ..operators import evaluate as E
 from ..operators import weak as W
 from ..operators.ranking import rank_within
 from .common import WS_SQL, bucket, bucket_sql, clean_sql, read
+from .sampling import _W as _BANDS_SQL
+from .sampling import _banded
 
 SEED, REPLICATES, RESAMPLES = 2026, 200, 2000
 
@@ -170,6 +172,13 @@ def q_weak_pivot(spark, d):
     return x.groupBy("original_source").agg(*[F.count_if(F.col("decision") == k).alias(k.lower()) for k in ("KEEP", "EDIT", "REJECT")], F.count_if(F.col("reason") == "accepted").alias("accepted"))
 
 
+def q_weak_band_pivot(spark, d):
+    """Decisions by confidence band; -1 is a row without one."""
+    b = _banded(spark, d).groupBy("id", "original_source").agg(F.max("band").alias("band"))
+    x = _weak(spark, d, None).where("decision is not null").join(b, ["id", "original_source"], "left")
+    return x.groupBy(F.coalesce("band", F.lit(-1).cast("long")).alias("band")).agg(*[F.count_if(F.col("decision") == k).alias(k.lower()) for k in ("KEEP", "EDIT", "REJECT")], F.count_if(F.col("reason") == "accepted").alias("accepted"))
+
+
 def q_prefix(spark, d):
     """Accepted rows of the first half of ids, and the union with the rest: the former must be its prefix."""
     a = rank_within(_weak(spark, d, None).where("reason = 'accepted'").select("id", "input_text", "target_text"), [], ["id"], "pos").drop("pos_n")
@@ -191,7 +200,7 @@ QUERIES = {
     "token_levenshtein": q_levenshtein, "token_edits": q_edits, "char_edit_ratio": q_ratio, "multiset_intersect": q_multiset, "metrics_err": _error_metrics, "metrics_edit_prf": q_metrics, "model_ranking": q_ranking, "two_model_rule": q_two,
     "error_categories": q_categories, "category_histogram": q_histogram, "pairwise_contingency": q_contingency, "model_deltas": q_deltas, "pairwise_winner": q_winner, "bootstrap_ci": q_bootstrap, "bootstrap_ci_deltas": q_bootstrap_deltas, "first_errors": q_first_errors,
     "early_stopping": q_stopping, "best_at_horizon": q_horizon, "loss_windows": q_windows, "factorial_effects": q_factorial, "weak_label_reasons": q_weak, "weak_label_drop_counts": q_weak_drops, "weak_label_edit_ratio": q_weak_edit,
-    "weak_label_pivots": q_weak_pivot, "weak_union_prefix": q_prefix, "text_diff": q_diff, "lexical_tokens": q_lexical,
+    "weak_label_pivots": q_weak_pivot, "weak_label_band_pivots": q_weak_band_pivot, "weak_union_prefix": q_prefix, "text_diff": q_diff, "lexical_tokens": q_lexical,
 }
 
 _TOK = lambda c: f"list_filter(regexp_split_to_array({c}, '{WS_SQL}+'), lambda x: x <> '')"
@@ -248,5 +257,6 @@ ORACLE = {
     "weak_label_reasons": f"WITH {_WEAK} SELECT id, reason FROM w",
     "weak_label_drop_counts": f"WITH {_WEAK} SELECT reason, count(*) AS n FROM w GROUP BY 1",
     "weak_label_pivots": f"WITH {_WEAK} SELECT original_source, count_if(decision = 'KEEP')::BIGINT AS keep, count_if(decision = 'EDIT')::BIGINT AS edit, count_if(decision = 'REJECT')::BIGINT AS reject, count_if(reason = 'accepted')::BIGINT AS accepted FROM w WHERE decision IS NOT NULL GROUP BY 1",
+    "weak_label_band_pivots": f"WITH {_WEAK}, bands AS (WITH {_BANDS_SQL} SELECT id, original_source, max(band) AS band FROM b GROUP BY 1, 2) SELECT coalesce(band, -1)::BIGINT AS band, count_if(decision = 'KEEP')::BIGINT AS keep, count_if(decision = 'EDIT')::BIGINT AS edit, count_if(decision = 'REJECT')::BIGINT AS reject, count_if(reason = 'accepted')::BIGINT AS accepted FROM w LEFT JOIN bands USING (id, original_source) WHERE decision IS NOT NULL GROUP BY 1",
     "weak_union_prefix": f"WITH {_WEAK} SELECT count(*) // 2 AS n_prior, count(*) // 2 AS n_same FROM w WHERE reason = 'accepted'",
 }

@@ -75,6 +75,20 @@ def q_audit(spark, d):
     return R.stratified(j, ["decision", "original_source"], q, "sample_id", SEED).select("sample_id", "decision", "original_source", "selection_rank")
 
 
+def q_audit_bands(spark, d):
+    """Ten reviewed rows per (decision, source, confidence band), in seeded order.
+
+    A row without a confidence or from another source has no band; such rows are strata of their own, band -1.
+    """
+    b = _banded(spark, d).groupBy(F.col("id").alias("sample_id"), "original_source").agg(F.max("band").alias("band"))
+    c = read(spark, d, "candidates").select(F.col("id").alias("sample_id"), "original_source").where("original_source is not null").distinct()
+    r = read(spark, d, "review_results").groupBy("sample_id").agg(F.max_by("decision", F.struct("reviewed_at", "prompt_version", "prompt_hash", "llm_model")).alias("decision"))
+    j = r.join(c, "sample_id").join(b, ["sample_id", "original_source"], "left").withColumn("band", F.coalesce("band", F.lit(-1).cast("long")))
+    strata = ["decision", "original_source", "band"]
+    q = j.select(*strata).distinct().withColumn("quota", F.lit(10).cast("long"))
+    return R.stratified(j, strata, q, "sample_id", SEED).select("sample_id", *strata, "selection_rank")
+
+
 def q_sample(spark, d):
     return R.sample_n(read(spark, d, "corpus").select("id", "original_source"), "id", SEED, 200)
 
@@ -88,7 +102,7 @@ def q_resume(spark, d):
 
 QUERIES = {
     "confidence_bands": q_bands, "source_quotas": q_quotas, "band_quotas": q_band_quotas, "stratified_manifest": q_manifest, "pilot_manifest": q_pilot,
-    "remaining_manifest": q_remaining, "chunk_plan": q_chunks, "audit_sample": q_audit, "validation_sample": q_sample, "chunk_resume": q_resume,
+    "remaining_manifest": q_remaining, "chunk_plan": q_chunks, "audit_sample": q_audit, "audit_sample_bands": q_audit_bands, "validation_sample": q_sample, "chunk_resume": q_resume,
 }
 
 _W = f"""c AS (SELECT DISTINCT id, original_source, model_a_confidence FROM candidates WHERE model_a_confidence IS NOT NULL AND original_source IN {in_sql(SOURCES)}),
@@ -112,6 +126,12 @@ ORACLE = {
 r AS (SELECT sample_id, decision FROM review_results QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY reviewed_at DESC, prompt_version DESC, prompt_hash DESC, llm_model DESC) = 1)
 SELECT sample_id, decision, original_source, row_number() OVER (PARTITION BY decision, original_source ORDER BY sha256('{SEED}:' || decision || ':' || original_source || ':' || sample_id), sample_id) AS selection_rank
 FROM r JOIN c ON c.id = sample_id WHERE original_source IS NOT NULL QUALIFY selection_rank <= 10""",
+    "audit_sample_bands": f"""WITH {_W}, a AS (SELECT DISTINCT id, original_source FROM candidates WHERE original_source IS NOT NULL),
+g AS (SELECT id, original_source, max(band) AS band FROM b GROUP BY 1, 2),
+r AS (SELECT sample_id, decision FROM review_results QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY reviewed_at DESC, prompt_version DESC, prompt_hash DESC, llm_model DESC) = 1),
+j AS (SELECT sample_id, decision, a.original_source, coalesce(band, -1)::BIGINT AS band FROM r JOIN a ON a.id = sample_id LEFT JOIN g ON g.id = a.id AND g.original_source = a.original_source)
+SELECT sample_id, decision, original_source, band, row_number() OVER (PARTITION BY decision, original_source, band ORDER BY sha256('{SEED}:' || decision || ':' || original_source || ':' || band || ':' || sample_id), sample_id) AS selection_rank
+FROM j QUALIFY selection_rank <= 10""",
     "validation_sample": f"SELECT id, original_source FROM corpus ORDER BY sha256('{SEED}:' || id), id LIMIT 200",
     "chunk_resume": """WITH c AS (SELECT id, ((row_number() OVER (ORDER BY id) - 1) // 1000)::BIGINT AS chunk FROM corpus), k AS (SELECT DISTINCT id FROM candidates WHERE generation_status = 'generated_text')
 SELECT chunk, count(*) AS expected, count(k.id) AS valid, count(*) = count(k.id) AS reusable FROM c LEFT JOIN k USING (id) GROUP BY 1""",
