@@ -13,18 +13,19 @@ from ..session import written
 from .ranking import hash_order, rank_within
 
 
-def epochs(ids: DataFrame, id_col: str, per_epoch: int, count: int, seed: int) -> DataFrame:
+def epochs(ids: DataFrame, id_col: str, per_epoch: int, count: int, seed: int, refill: bool = False) -> DataFrame:
     """(epoch, id): ``count`` epochs of ``per_epoch`` ids each; an id repeats only after all others were used.
 
     Round r of the permutation holds slots r*n .. r*n + n - 1 of the endless sequence; an epoch that straddles two
-    rounds would meet an id twice only if it were longer than the pool, which is refused.
+    rounds would meet an id twice only if it were longer than the pool, which is refused unless ``refill`` lets epochs
+    run through several rounds. An empty pool gives no rows.
     """
     r = rank_within(ids.select(F.col(id_col).alias("id")).distinct().withColumn("_h", hash_order(seed, "id")), [], ["_h", "id"], "rn")
     first = r.select("rn_n").first()
     n = first[0] if first else 0
-    if n < per_epoch:
+    if 0 < n < per_epoch and not refill:
         raise ValueError("the pool must hold a full epoch")
-    rounds = -(-count * per_epoch // n)
+    rounds = -(-count * per_epoch // max(n, 1))
     slot = F.col("round") * n + F.col("rn") - 1
     x = r.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long")))).withColumn("epoch", F.floor(slot / per_epoch))
     return x.where(F.col("epoch") < count).select("epoch", "id")
@@ -32,7 +33,7 @@ def epochs(ids: DataFrame, id_col: str, per_epoch: int, count: int, seed: int) -
 
 def share(ids: DataFrame, id_col: str, parts: int = 2, of: int = 5) -> int:
     """The size of an epoch as a share of the pool, rounded up."""
-    return -(-ids.select(id_col).distinct().count() * parts // of)
+    return max(1, -(-ids.select(id_col).distinct().count() * parts // of))
 
 
 def coverage_epochs(ids: DataFrame, id_col: str, per_epoch: int, seed: int) -> DataFrame:

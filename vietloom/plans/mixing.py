@@ -22,7 +22,7 @@ def _pool(spark, d):
 
 
 def _epochs(spark, d):
-    return M.epochs(_initial(spark, d), "id", PER, COUNT, SEED)
+    return M.epochs(_initial(spark, d), "id", PER, COUNT, SEED, refill=True)
 
 
 def q_balanced(spark, d):
