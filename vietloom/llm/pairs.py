@@ -84,7 +84,7 @@ def clauses(source: str | None, answer: str) -> tuple[list[str], list[int]]:
         if k == len(rows) - 1:
             parts.append(f"u{0 if rest < 0.1 else 1 if rest < 0.2 else 2 if rest < 0.25 else 3}")
         if m < 0.55:
-            parts += [f"w={w}" for w in f[:30]] + [f"p={x} {y}" for x, y in zip(f[:30], f[1:31], strict=False)]
+            parts += [f"w={w}" for w in f] + [f"p={x} {y}" for x, y in zip(f, f[1:], strict=False)]
             if any(ord(c) > 0x2E7F or 0x400 <= ord(c) < 0x1E00 for w in r for c in w):
                 parts.append("script")
         sig.append("|".join(parts))
