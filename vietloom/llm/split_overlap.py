@@ -1,63 +1,93 @@
 """Problem 1: records of evaluation splits that also stand, the same or almost, in the training split.
 
-Winnowing: of each window of ``WINDOW`` rolling hashes over ``GRAM`` words the one of the rarest words is kept (a
-minimum under an order by rarity), and evaluation and training records are joined on the kept hashes. Seeds of a pair
-are chained if they are collinear, chains are extended to a whole alignment, and the edit distance in words decides.
+Winnowing: of each record disjoint windows are laid, and each window keeps the rolling hash of least count on the other
+side (``seeds.minima``). If two records are within the allowed edits ``k`` of the longer one, at least two of its
+``k + 2`` minima stand in the shorter one, since an edit hits one window at most: the longer record brings its minima,
+the shorter one its rolling hashes of one to four words, and no pair is lost. Both sides in turn are the longer one.
 
-A pair with a common run of ``GRAM + WINDOW - 1`` words always shares a seed. Records of under ``SHORT`` words are
-joined on their rarest words instead, as many as the distance allows to differ plus one, which loses none of them.
+Seeds of a pair are then chained: only pairs with a collinear chain of two seeds or more, every seed of it at a shift
+that the allowed edits can bring about, are extended. The extension aligns the records word by word in a band as wide as
+the allowed edits; it gives the edit distance, which decides, and the words of the record that stand aligned.
 
-Cases: texts without letters and digits are no record here; equal texts are one class each, joined once and expanded
-at the end; ids that repeat give one row; null splits are neither side.
+Cases: texts without letters and digits are no record here, nor are rows without an id; equal texts are one class each,
+joined once and expanded at the end; ids that repeat give one row; null splits are neither side.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_words, word_hashes
-from .common import MULT, U, as_long, grams, mix, ragged, word_sketch
-from .leaks import gram_rarity, rarest_in_windows, rarity
+from ..session import written
+from .common import U, as_long, bitmap, in_bitmap, lists, mix, ragged
+from .seeds import every, minima, sketches
 
-GRAM, WINDOW, SHORT = 3, 2, 16
 SIGNATURE = 4
+#: A match adds so little that it never outweighs an edit, and says at the end how many words stand aligned.
+EDIT = np.int64(1) << 32
+FAR = np.int64(1) << 60
+#: Cells of a band, and points of a chain, that are worked on at a time; more only take longer.
+CELLS = 1_000_000
+
 
+def align(xs: list[np.ndarray], ys: list[np.ndarray], band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edit distance in words, equal words of the best alignment) of each pair, as far as it is within its band.
 
-def word_distance(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """Edit distance in words of each pair, the dynamic programme run over many pairs at once."""
+    Pairs of like length go through the dynamic programme together; beyond the band the distance is some larger number.
+    """
     n = len(xs)
-    out = np.zeros(n, np.int64)
-    order = np.argsort([max(len(x), len(y)) for x, y in zip(xs, ys, strict=True)], kind="stable")
+    cost = np.zeros(n, np.int64)
+    order = np.lexsort((band, [len(x) for x in xs]))
     i = 0
     while i < n:
-        j, width = i, 1
-        while j < n and (j == i or (j - i + 1) * (max(len(xs[order[j]]), len(ys[order[j]])) + 1) <= 400_000):
-            width = max(width, len(xs[order[j]]), len(ys[order[j]]))
+        j, k = i, int(band[order[i]])
+        while j < n and (j == i or (j - i + 1) * (2 * max(k, int(band[order[j]])) + 1) <= CELLS // 8):
+            k = max(k, int(band[order[j]]))
             j += 1
         part = order[i:j]
-        lx = np.array([len(xs[k]) for k in part])
-        ly = np.array([len(ys[k]) for k in part])
-        x = np.zeros((len(part), int(lx.max(initial=0))), np.int64)
-        y = np.ones((len(part), int(ly.max(initial=0))), np.int64)
-        for r, k in enumerate(part):
-            x[r, : lx[r]] = xs[k]
-            y[r, : ly[r]] = ys[k]
-        col = np.arange(y.shape[1] + 1)
-        row = np.repeat(col[None, :], len(part), 0)
-        done = row[np.arange(len(part)), ly].copy()
-        for s in range(x.shape[1]):
-            step = np.empty_like(row)
-            step[:, 0] = s + 1
-            np.minimum(row[:, 1:] + 1, row[:, :-1] + (x[:, s : s + 1] != y), out=step[:, 1:])
-            row = np.minimum.accumulate(step - col, axis=1) + col
-            end = lx == s + 1
-            done[end] = row[end, ly[end]]
-        out[part] = done
+        lx, ly = np.array([len(xs[p]) for p in part]), np.array([len(ys[p]) for p in part])
+        wide, width = int(lx.max(initial=0)), 2 * k + 1
+        x = np.zeros((len(part), wide), np.int64)
+        y = np.full((len(part), wide + width + k + 1), 1, np.int64)
+        for r, p in enumerate(part):
+            x[r, : lx[r]] = xs[p]
+            y[r, k : k + ly[r]] = ys[p][: y.shape[1] - k]
+        diag = np.arange(width)
+        row = np.where(diag >= k, (diag - k) * EDIT, FAR)[None, :].repeat(len(part), 0)
+        at_end = np.clip(ly - lx + k, 0, width - 1)
+        got = row[np.arange(len(part)), at_end].copy()
+        for s in range(1, wide + 1):
+            new = row + np.where(x[:, s - 1 : s] == y[:, s - 1 : s - 1 + width], np.int64(-1), EDIT)
+            np.minimum(new[:, :-1], row[:, 1:] + EDIT, out=new[:, :-1])
+            if s <= k:
+                new[:, k - s] = s * EDIT
+                new[:, : k - s] = FAR
+            row = np.minimum.accumulate(new - diag * EDIT, axis=1) + diag * EDIT
+            end = lx == s
+            got[end] = row[end, at_end[end]]
+        got[np.abs(ly - lx) > k] = FAR
+        cost[part] = got
         i = j
-    return out
+    d = -(-cost // EDIT)
+    return d, d * EDIT - cost
+
+
+def chain(points: list[tuple[int, int]], n: int, m: int, k: int) -> int:
+    """Length of the longest collinear chain of seeds (place in a record of n words, place in one of m words).
+
+    Of a seed inside an alignment of at most ``k`` edits, the edits before it make up its shift, those behind it the
+    rest of the gap in length.
+    """
+    tails: list[int] = []
+    for _, b in sorted({(a, -b) for a, b in points if abs(a - b) + abs((n - a) - (m - b)) <= k}):
+        at = bisect_left(tails, -b)
+        tails[at : at + 1] = [-b]
+    return len(tails)
 
 
 def _signature(off: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -69,77 +99,115 @@ def _signature(off: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(sketch: np.ndarray):
+def _rows(b: pa.RecordBatch, off: np.ndarray, h: np.ndarray, row: np.ndarray, pos: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    """One row a gram and record, with all its places in the record."""
+    order = np.lexsort((pos, g, row))
+    row, pos, g = row[order], pos[order], g[order]
+    first = np.nonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1])]))[0] if len(row) else np.zeros(0, np.int64)
+    own, sig = row[first], _signature(off, h)
+    places = lists(np.concatenate([first, [len(row)]]), pa.array(pos.astype(np.int32)))
+    take = pa.array(own)
+    return pa.RecordBatch.from_arrays(
+        [as_long(g[first]), b.column("a").take(take), b.column("b").take(take), pa.array(np.diff(off)[own].astype(np.int32)), places, *(as_long(np.ascontiguousarray(sig[own, j])) for j in range(SIGNATURE))],
+        names=["g", "a", "b", "n", "p", *(f"s{j}" for j in range(SIGNATURE))],
+    )
+
+
+_SEED = "g long, a long, b long, n int, p array<int>, " + ", ".join(f"s{j} long" for j in range(SIGNATURE))
+
+
+def need(n: np.ndarray, share: int) -> np.ndarray:
+    """Windows of a record of ``n`` words: two more than the edits it allows; none where it allows no edit."""
+    return np.where(n >= share, np.minimum(n // share + 2, n), 0)
+
+
+def _longer(classes: DataFrame, side: str, sketch: np.ndarray, share: int) -> DataFrame:
+    """Minima of the records of one side, to be looked for in shorter ones of the other."""
+
     def run(batches):
         for b in batches:
             off, h = ragged(b.column("w"))
-            n = np.diff(off)
-            row, pos, g = grams(off, h, GRAM)
-            long = n[row] >= SHORT
-            row, pos, g = row[long], pos[long], g[long]
-            sel = rarest_in_windows(row, pos, gram_rarity(sketch, h, GRAM)[off[row] + pos] if len(row) else np.zeros(0, np.int64), g, WINDOW, whole=True)
-            row, pos, g = row[sel], pos[sel], g[sel]
-            rows, poss, gs = [row], [pos], [g]
-            # short rows, and the short partners a slightly longer row may have: their rarest words
-            near = np.nonzero((n > 0) & (n < SHORT * 4 // 3 + 1))[0]
-            if len(near):
-                own = np.repeat(np.arange(len(n)), n)
-                rank = np.lexsort((h, rarity(sketch, h), own))
-                nth = np.arange(len(h)) - off[own[rank]]
-                allowed = np.where(n < SHORT * 4 // 3 + 1, n // 3 + 1, 0)  # of the longer text a quarter, of this one at most a third
-                pick = rank[nth < allowed[own[rank]]]
-                rows.append(own[pick])
-                poss.append(pick - off[own[pick]])
-                gs.append(mix(h[pick].astype(np.int64).view(U) * MULT + U(1)))
-            row, pos, g = np.concatenate(rows), np.concatenate(poss), np.concatenate(gs)
-            sig = _signature(off, h)[row]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [as_long(g), b.column("cls").take(take), b.column("eval").take(take), b.column("train").take(take), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), *(as_long(np.ascontiguousarray(sig[:, j])) for j in range(SIGNATURE))],
-                names=["g", "cls", "eval", "train", "n", "p", *(f"s{j}" for j in range(SIGNATURE))],
-            )
-
-    return run
+            yield _rows(b, off, h, *minima(off, h, need(np.diff(off), share), sketch))
+
+    return classes.where(side).select("w", "a", "b").mapInArrow(run, _SEED)
+
+
+def _shorter(classes: DataFrame, side: str, bits: np.ndarray) -> DataFrame:
+    """All rolling hashes of the records of one side that may be a minimum of the other."""
+
+    def run(batches):
+        for b in batches:
+            off, h = ragged(b.column("w"))
+            yield _rows(b, off, h, *every(off, h, np.ones(b.num_rows, bool), lambda g: in_bitmap(bits, g)))
+
+    return classes.where(side).select("w", "a", "b").mapInArrow(run, _SEED)
+
+
+def _candidates(long: DataFrame, short: DataFrame, share: int, ties: bool) -> DataFrame:
+    """Pairs (a1, b1 the longer record, a2, b2 the shorter) that share two minima within the bounds, with their places.
+
+    The join key has a band of lengths besides the gram (a shorter record's band is the longer one's or the next below),
+    so a gram that very many records hold meets only records of like length.
+    """
+    band = lambda n: F.floor(F.log(1.005 * share / (share - 1), n)).cast("int")
+    cols = ["a", "b", "n", "p", *(f"s{j}" for j in range(SIGNATURE))]
+    x = long.select("g", *(F.col(c).alias(c + "1") for c in cols)).withColumn("l", F.explode(F.array(*[band(F.col("n1")) - i for i in (0, 1)])))
+    y = short.select("g", band(F.col("n")).alias("l"), *(F.col(c).alias(c + "2") for c in cols))
+    k = F.floor(F.col("n1") / share)
+
+    def missing(i, j):
+        return sum(F.bit_count(F.col(f"s{w}{i}").bitwiseAND(F.bitwise_not(F.col(f"s{w}{j}")))) for w in range(SIGNATURE))
+
+    near = (F.array_min("p1") - F.array_max("p2") <= k) & (F.array_min("p2") - F.array_max("p1") <= k)
+    long_enough = (F.col("n1") - F.col("n2") <= k) & (F.col("n1") >= F.col("n2") if ties else F.col("n1") > F.col("n2"))
+    other = (F.col("a1") != F.col("a2")) | (F.col("b1") != F.col("b2"))
+    hits = x.hint("merge").join(y, ["g", "l"]).where(long_enough & other & near & (missing(1, 2) <= k) & (missing(2, 1) <= k))
+    pairs = hits.groupBy("a1", "b1", "a2", "b2").agg(F.sum(F.least(F.size("p1"), F.size("p2"))).alias("shared"), F.collect_list(F.struct("p1", "p2")).alias("seeds"))
+    return pairs.where("shared >= 2").drop("shared")
+
+
+def _chained(batches):
+    """Rows whose seeds make a chain of two or more; where places are too many to chain, the count of seeds has decided."""
+    for t in batches:
+        keep = []
+        for n, m, k, seeds in zip(*(t.column(c).to_pylist() for c in ("n1", "n2", "k", "seeds")), strict=True):
+            size = sum(len(s["p1"]) * len(s["p2"]) for s in seeds)
+            keep.append(size > CELLS or chain([(a, b) for s in seeds for a in s["p1"] for b in s["p2"]], n, m, k) >= 2)
+        t = t.filter(pa.array(keep, pa.bool_()))
+        xs, ys = ([f[o[i] : o[i + 1]] for i in range(t.num_rows)] for o, f in (ragged(t.column("w1")), ragged(t.column("w2"))))
+        k = t.column("k").to_numpy().astype(np.int64)
+        d, same = align(xs, ys, k)
+        ok = pa.array(d <= k)
+        yield pa.RecordBatch.from_arrays([*(t.column(c).filter(ok) for c in ("a1", "b1", "a2", "b2")), pa.array(d).filter(ok), pa.array(same).filter(ok)], names=["a1", "b1", "a2", "b2", "distance", "n_equal"])
+
+
+def close_classes(classes: DataFrame, share: int) -> DataFrame:
+    """(ea, eb, ta, tb, distance, n_equal): pairs of an evaluation and a training class of different words."""
+    in_eval, in_train = sketches(classes, "w", ["eval", "train"], (1, 2, 3, 4))
+    w = classes.select("a", "b", F.size("w").alias("n"), "w")
+    out = []
+    for long, short, sketch in (("eval", "train", in_train), ("train", "eval", in_eval)):
+        seeds = written(_longer(classes, long, sketch, share), "minima")
+        pairs = _candidates(seeds, _shorter(classes, short, bitmap(seeds, "g")), share, ties=long == "eval")
+        for i in (1, 2):
+            pairs = pairs.hint("merge").join(w.select(*(F.col(c).alias(f"{c}{i}") for c in ("a", "b", "n", "w"))), [f"a{i}", f"b{i}"])
+        pairs = pairs.withColumn("k", F.floor(F.col("n1") / share).cast("int")).select("a1", "b1", "a2", "b2", "n1", "n2", "k", "seeds", "w1", "w2")
+        got = pairs.mapInArrow(_chained, "a1 long, b1 long, a2 long, b2 long, distance long, n_equal long")
+        e, t = (1, 2) if long == "eval" else (2, 1)
+        out.append(got.select(F.col(f"a{e}").alias("ea"), F.col(f"b{e}").alias("eb"), F.col(f"a{t}").alias("ta"), F.col(f"b{t}").alias("tb"), "distance", "n_equal"))
+    return out[0].unionByName(out[1])
 
 
 def overlaps(df: DataFrame, id_col: str, text: str, split: str, train: str = "train", evals: tuple[str, ...] = ("dev", "test"), share: int = 4) -> DataFrame:
-    """(eval_id, train_id, distance, n_words): pairs of which at most 1/``share`` of the longer text's words differ."""
+    """(eval_id, train_id, distance, n_words, n_equal): pairs of which at most 1/``share`` of the longer text's words
+    differ; ``n_words`` and ``n_equal`` are the evaluation record's words and those that stand aligned in the other."""
     side = F.when(F.col(split) == train, False).when(F.col(split).isin(*evals), True)
-    rec = df.select(F.col(id_col).alias("id"), side.alias("e"), word_hashes(fold_words(F.col(text), squeeze=True)).alias("w")).where("e is not null and size(w) > 0").distinct()
-    rec = rec.withColumn("cls", F.struct(F.xxhash64("w").alias("a"), F.hash("w").alias("b")))
-    classes = rec.groupBy("cls").agg(F.any_value("w").alias("w"), F.max("e").alias("eval"), F.max(~F.col("e")).alias("train"))
-    seeds = classes.mapInArrow(_fingerprints(word_sketch(rec, "w")), "g long, cls struct<a:long,b:int>, eval boolean, train boolean, n int, p int, " + ", ".join(f"s{j} long" for j in range(SIGNATURE)))
-    cols = ["cls", "n", "p", *(f"s{j}" for j in range(SIGNATURE))]
-    a = seeds.where("eval").select("g", *(F.col(c).alias(c + "_a") for c in cols))
-    b = seeds.where("train").select("g", *(F.col(c).alias(c + "_b") for c in cols))
-    far = F.floor(F.greatest("n_a", "n_b") / share)
-
-    def missing(x, y):
-        return sum(F.bit_count(F.col(f"s{j}_{x}").bitwiseAND(F.bitwise_not(F.col(f"s{j}_{y}")))) for j in range(SIGNATURE))
-
-    # each edit moves a word by one place at most and removes at most one distinct word
-    pairs = (
-        a.join(b, "g").where((F.abs(F.col("n_a") - F.col("n_b")) <= far) & (F.abs(F.col("p_a") - F.col("p_b")) <= far) & (missing("a", "b") <= far) & (missing("b", "a") <= far))
-        .groupBy("cls_a", "cls_b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.collect_set(F.col("p_a") - F.col("p_b")).alias("diagonals"), F.count("*").alias("seeds"))
-    )
-    w = classes.select("cls", "w")
-    aligned = pairs.join(w.select(F.col("cls").alias("cls_a"), F.col("w").alias("w_a")), "cls_a").join(w.select(F.col("cls").alias("cls_b"), F.col("w").alias("w_b")), "cls_b")
-
-    def align(batches):
-        for t in batches:
-            ox, x = ragged(t.column("w_a"))
-            oy, y = ragged(t.column("w_b"))
-            xs = [x[ox[i] : ox[i + 1]] for i in range(t.num_rows)]
-            ys = [y[oy[i] : oy[i + 1]] for i in range(t.num_rows)]
-            d = word_distance(xs, ys)
-            n = np.maximum(np.diff(ox), np.diff(oy))
-            ok = pa.array(d * share <= n)
-            yield pa.RecordBatch.from_arrays([t.column("cls_a").filter(ok), t.column("cls_b").filter(ok), pa.array(d).filter(ok), pa.array(n).filter(ok)], names=["cls_a", "cls_b", "distance", "n_words"])
-
-    close = aligned.select("cls_a", "cls_b", "w_a", "w_b").mapInArrow(align, "cls_a struct<a:long,b:int>, cls_b struct<a:long,b:int>, distance long, n_words long")
-    ids = rec.select("cls", "id", "e")
-    return (
-        close.join(ids.where("e").select(F.col("cls").alias("cls_a"), F.col("id").alias("eval_id")), "cls_a")
-        .join(ids.where("not e").select(F.col("cls").alias("cls_b"), F.col("id").alias("train_id")), "cls_b")
-        .select("eval_id", "train_id", "distance", "n_words").distinct()
-    )
+    rec = df.select(F.col(id_col).alias("id"), side.alias("e"), word_hashes(fold_words(F.col(text), squeeze=True)).alias("w")).where("id is not null and e is not null and size(w) > 0")
+    rec = written(rec.select("id", "e", "w", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b")), "records")
+    classes = written(rec.groupBy("a", "b").agg(F.first("w").alias("w"), F.max("e").alias("eval"), F.max(~F.col("e")).alias("train")), "classes")
+    n = F.size("w").cast("long")
+    same = classes.where("eval and train").select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("a").alias("ta"), F.col("b").alias("tb"), F.lit(0).cast("long").alias("distance"), n.alias("n_equal"))
+    close = close_classes(classes, share).unionByName(same)
+    e = rec.where("e").select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("id").alias("eval_id"), n.alias("n_words")).distinct()
+    t = rec.where("not e").select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("id").alias("train_id")).distinct()
+    return close.hint("merge").join(e, ["ea", "eb"]).hint("merge").join(t, ["ta", "tb"]).select("eval_id", "train_id", "distance", "n_words", "n_equal")
