@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import FOLD_FROM, FOLD_TO
+
 U = np.uint64
 MULT = U(0x9E3779B97F4A7C15)
 SKETCH_BITS = 20
@@ -109,6 +114,98 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+#: What a code point is in a word: a gap between words, a mark that is passed over, or its folded letter or digit.
+GAP, MARK = 0, 1
+
+
+@functools.cache
+def _fold() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point: its folded letter or digit (:data:`GAP`, :data:`MARK`), and whether that is a letter."""
+    latin = dict(zip(FOLD_FROM, FOLD_TO, strict=True))
+    to, letter = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for a, b in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x323B0)):  # letters that stand for themselves
+        to[a:b] = np.arange(a, b)
+        letter[a:b] = True
+    to[0xE0100:0xE01F0] = MARK
+    for cp in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000)]:
+        kind = unicodedata.category(chr(cp))[0]
+        if kind == "M":
+            to[cp] = MARK
+        elif kind in "LN":
+            low = chr(cp).lower()[0]
+            to[cp] = ord(latin.get(low, low))
+            letter[to[cp]] = kind == "L"
+    return to, letter
+
+
+@functools.lru_cache(4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, ``2**bits`` of each."""
+    one = np.ones(1, U)
+    n = (1 << bits) - 1
+    return np.concatenate([one, np.cumprod(np.full(n, MULT, U))]), np.concatenate([one, np.cumprod(np.full(n, U(pow(int(MULT), -1, 1 << 64)), U))])
+
+
+def word_rows(texts: list[str | None], squeeze: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, 64-bit hashes) of the words of each text: runs of letters or digits without case and diacritics;
+    ``squeeze`` also takes a repeated letter once. Code points stream through a table, no folded text is made.
+
+    The same words as ``fold_words`` gives as strings; null and blank texts have none.
+    """
+    to, letter = _fold()
+    off, cp = codes(texts)
+    c = to[cp]
+    own = np.repeat(np.arange(len(texts)), np.diff(off))
+    if (skip := c == MARK).any():
+        c, own = c[~skip], own[~skip]
+    if squeeze and len(c):
+        again = np.zeros(len(c), bool)
+        again[1:] = (c[1:] == c[:-1]) & (own[1:] == own[:-1]) & letter[c[1:]]
+        c, own = c[~again], own[~again]
+    full = c != GAP
+    if not full.any():
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
+    edge = np.concatenate([[True], own[1:] != own[:-1]])
+    start = np.nonzero(full & (edge | np.concatenate([[True], ~full[:-1]])))[0]
+    end = np.nonzero(full & np.concatenate([edge[1:] | ~full[1:], [True]]))[0] + 1
+    p, q = _powers(max(16, int(len(c)).bit_length()))
+    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(c) * p[: len(c)], dtype=U)])
+    h = mix((total[end] - total[start]) * q[start] + (end - start).astype(U))
+    return np.concatenate([[0], np.cumsum(np.bincount(own[start], minlength=len(texts)))]).astype(np.int64), h.view(np.int64)
+
+
+def in_slices(b: pa.RecordBatch, column: str, chars: int = 1_000_000):
+    """Slices of a batch of about so many characters of a text column, with the texts."""
+    texts, i, size = b.column(column).to_pylist(), 0, 0
+    for j, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars or j == len(texts) - 1:
+            yield b.slice(i, j + 1 - i), texts[i : j + 1]
+            i, size = j + 1, 0
+
+
+def with_words(df: DataFrame, text: str, name: str = "w", squeeze: bool = False) -> DataFrame:
+    """``df`` with the word hashes of ``text`` in its place, as column ``name``."""
+    fields = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches):
+        for b in batches:
+            for part, texts in in_slices(b, text):
+                off, h = word_rows(texts, squeeze)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), lists(off, pa.array(h))], names=[*(f.name for f in fields), name])
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` array<long>")
+
+
+def row_hashes(off: np.ndarray, h: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each row of values, in their order."""
+    p, q = _powers(max(16, int(len(h)).bit_length()))
+    v = mix(h.astype(np.int64).view(U) + U(seed))
+    total = np.concatenate([np.zeros(1, U), np.cumsum(v * p[: len(h)], dtype=U)])
+    n = np.diff(off)
+    return mix((total[off[1:]] - total[off[:-1]]) * q[np.minimum(off[:-1], len(q) - 1)] + n.astype(U) * U(2 * seed + 1))
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_words, word_hashes
 from ..session import written
-from .common import U, as_long, bitmap, in_bitmap, lists, mix, ragged
+from .common import U, as_long, bitmap, in_bitmap, in_slices, lists, mix, ragged, row_hashes, word_rows
 from .seeds import every, minima, sketches
 
 SIGNATURE = 4
@@ -202,8 +201,16 @@ def overlaps(df: DataFrame, id_col: str, text: str, split: str, train: str = "tr
     """(eval_id, train_id, distance, n_words, n_equal): pairs of which at most 1/``share`` of the longer text's words
     differ; ``n_words`` and ``n_equal`` are the evaluation record's words and those that stand aligned in the other."""
     side = F.when(F.col(split) == train, False).when(F.col(split).isin(*evals), True)
-    rec = df.select(F.col(id_col).alias("id"), side.alias("e"), word_hashes(fold_words(F.col(text), squeeze=True)).alias("w")).where("id is not null and e is not null and size(w) > 0")
-    rec = written(rec.select("id", "e", "w", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b")), "records")
+    rows = df.select(F.col(id_col).alias("id"), side.alias("e"), F.col(text).alias("t")).where("id is not null and e is not null and t is not null")
+    kind = dict(rows.dtypes)["id"]
+
+    def words(batches):
+        for b in batches:
+            for part, texts in in_slices(b, "t"):
+                off, h = word_rows(texts, squeeze=True)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("e"), lists(off, pa.array(h)), as_long(row_hashes(off, h, 1)), as_long(row_hashes(off, h, 2))], names=["id", "e", "w", "a", "b"])
+
+    rec = written(rows.mapInArrow(words, f"id {kind}, e boolean, w array<long>, a long, b long").where("size(w) > 0"), "records")
     classes = written(rec.groupBy("a", "b").agg(F.first("w").alias("w"), F.max("e").alias("eval"), F.max(~F.col("e")).alias("train")), "classes")
     n = F.size("w").cast("long")
     same = classes.where("eval and train").select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("a").alias("ta"), F.col("b").alias("tb"), F.lit(0).cast("long").alias("distance"), n.alias("n_equal"))
