@@ -26,7 +26,9 @@ from ..session import written
 from .common import U, as_long, bitmap, in_bitmap, in_slices, lists, mix, ragged, row_hashes, word_rows
 from .seeds import every, minima, sketches
 
-SIGNATURE = 4
+SIGNATURE = 2
+#: Bits of the bitmap of minima: 4 MB.
+BITS = 25
 #: A match adds so little that it never outweighs an edit, and says at the end how many words stand aligned.
 EDIT = np.int64(1) << 32
 FAR = np.int64(1) << 60
@@ -145,12 +147,13 @@ def _shorter(classes: DataFrame, side: str, bits: np.ndarray) -> DataFrame:
 def _candidates(long: DataFrame, short: DataFrame, share: int, ties: bool) -> DataFrame:
     """Pairs (a1, b1 the longer record, a2, b2 the shorter) that share two minima within the bounds, with their places.
 
-    The join key has a band of lengths besides the gram (a shorter record's band is the longer one's or the next below),
-    so a gram that very many records hold meets only records of like length.
+    The join key has a band of lengths (doublings) besides the gram, so a gram that very many records hold meets only
+    records of like length; the longer record looks in the band below as well if the least length is there.
     """
-    band = lambda n: F.floor(F.log(1.005 * share / (share - 1), n)).cast("int")
+    band = lambda n: F.length(F.bin(n))
     cols = ["a", "b", "n", "p", *(f"s{j}" for j in range(SIGNATURE))]
-    x = long.select("g", *(F.col(c).alias(c + "1") for c in cols)).withColumn("l", F.explode(F.array(*[band(F.col("n1")) - i for i in (0, 1)])))
+    least = F.col("n1") - F.floor(F.col("n1") / share)
+    x = long.select("g", *(F.col(c).alias(c + "1") for c in cols)).withColumn("l", F.explode(F.array_distinct(F.array(band(F.col("n1")), band(least)))))
     y = short.select("g", band(F.col("n")).alias("l"), *(F.col(c).alias(c + "2") for c in cols))
     k = F.floor(F.col("n1") / share)
 
@@ -187,7 +190,7 @@ def close_classes(classes: DataFrame, share: int) -> DataFrame:
     out = []
     for long, short, sketch in (("eval", "train", in_train), ("train", "eval", in_eval)):
         seeds = written(_longer(classes, long, sketch, share), "minima")
-        pairs = _candidates(seeds, _shorter(classes, short, bitmap(seeds, "g")), share, ties=long == "eval")
+        pairs = _candidates(seeds, _shorter(classes, short, bitmap(seeds, "g", BITS)), share, ties=long == "eval")
         for i in (1, 2):
             pairs = pairs.hint("merge").join(w.select(*(F.col(c).alias(f"{c}{i}") for c in ("a", "b", "n", "w"))), [f"a{i}", f"b{i}"])
         pairs = pairs.withColumn("k", F.floor(F.col("n1") / share).cast("int")).select("a1", "b1", "a2", "b2", "n1", "n2", "k", "seeds", "w1", "w2")
