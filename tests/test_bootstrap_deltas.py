@@ -1,6 +1,7 @@
-"""Both metrics of the paired bootstrap against brute force over the same draws, at the reference's number of resamples."""
+"""Both metrics of the paired bootstrap against brute force over the same draws, at the published number of resamples."""
 
 import hashlib
+import math
 import random
 
 from vietloom.operators import evaluate as E
@@ -15,6 +16,14 @@ def score(rows):
     return {"f1": 2 * pr * re / (pr + re) if pr + re else 0.0, "ERR": (lai - sys) / lai if lai else 0.0}
 
 
+def poisson(digest):
+    u, k, p = int(digest[:8], 16) / 2**32, 0, 1 / math.e
+    while u >= p and k < 10:
+        k += 1
+        p += 1 / math.factorial(k) / math.e
+    return k
+
+
 def test_brute_force(frame):
     r, n, seed = random.Random(4), 9, 7
     rows = []
@@ -24,11 +33,11 @@ def test_brute_force(frame):
             p = r.randint(0, 5)
             rows.append((f"i{i}", m, gold, p, r.randint(0, min(gold, p)), lai, r.randint(0, 6), 0))
     df = frame(rows, "id string, model string, " + ", ".join(f"{c} long" for c in [*NAMES, "exact"]))
-    got = {x.metric: x for x in E.bootstrap_deltas(df, "a", "b", 2000, seed).collect()}
+    got = {x.metric: x for x in E.bootstrap(df, "a", "b", 2000, seed).collect()}
     by = {(i, m): x for i, m, *x in rows}
     deltas = {"f1": [], "ERR": []}
     for rep in range(2000):
-        at = [int(hashlib.md5(f"{seed}:{rep}:{s}".encode()).hexdigest()[:12], 16) % n for s in range(n)]
+        at = [k for k in range(n) for _ in range(poisson(hashlib.md5(f"{seed}:{rep}:i{k}".encode()).hexdigest()))]
         a, b = (score([by[f"i{k}", m] for k in at]) for m in "ab")
         for k in deltas:
             deltas[k].append(a[k] - b[k])
@@ -36,8 +45,13 @@ def test_brute_force(frame):
         v.sort()
         assert got[k].replicates == 2000
         assert all(abs(x - y) < 1e-9 for x, y in zip((got[k]["mean"], got[k]["low"], got[k]["high"]), (sum(v) / 2000, v[49], v[1949]), strict=True))
-    old = E.bootstrap_err(df, "a", "b", 2000, seed).first()
-    assert all(abs(old[c] - got["ERR"][c]) < 1e-9 for c in ("mean", "low", "high"))
+    old = E.bootstrap(df.drop("gold_edits", "predicted_edits", "correct_edits"), "a", "b", 2000, seed).collect()
+    assert [x.metric for x in old] == ["ERR"] and all(abs(old[0][c] - got["ERR"][c]) < 1e-9 for c in ("mean", "low", "high"))
+
+
+def test_weights_are_poisson():
+    w = [poisson(hashlib.md5(str(i).encode()).hexdigest()) for i in range(20_000)]
+    assert abs(sum(w) / len(w) - 1) < 0.03 and abs(sum((x - 1) ** 2 for x in w) / len(w) - 1) < 0.05
 
 
 def test_query_has_both_metrics(spark, tmp_path):

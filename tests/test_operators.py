@@ -49,26 +49,17 @@ def test_history(frame):
     assert "".join(r.v for r in got) == "jihgfedcba"
 
 
-ATT = "attempt_id long, batch_id string, prompt_hash string, prompt_version string, llm_model string, sample_ids_json string, attempt_number int, status string, error_code string, completed_at timestamp"
+ATT = "attempt_id long, batch_id string, prompt_hash string, prompt_version string, llm_model string, sample_ids_json string, attempt_number int, status string, error_code string, response_metadata_json string, completed_at timestamp"
 
 
 def test_ledger(frame):
-    a = frame([(1, "b1", "h", "v", "m", '["x","y"]', 1, "failed", "quota", None), (2, "b2", "h", "v", "m", '["z"]', 1, "failed", "provider_blocked", None), (3, "b3", "h", "v", "m", '["x"]', 1, "failed", None, None), (4, "b3", "h", "v", "m", '["x"]', 2, "succeeded", None, None)], ATT)
+    a = frame([(1, "b1", "h", "v", "m", '["x","y"]', 1, "failed", "quota", None, None), (2, "b2", "h", "v", "m", '["z"]', 1, "failed", "prompt_blocked", '{"candidate_count": 0}', None), (3, "b3", "h", "v", "m", '["x"]', 1, "failed", None, None, None), (4, "b3", "h", "v", "m", '["x"]', 2, "succeeded", None, None, None)], ATT)
     r = frame([("x", "v", "h", "m", 1, "KEEP"), ("x", "v", "h", "m", 2, "EDIT"), ("y", "v", "h", "m", 1, "KEEP"), ("z", "v2", "h", "m", 1, "KEEP")], "sample_id string, prompt_version string, prompt_hash string, llm_model string, reviewed_at int, decision string")
     assert {(x.sample_id, x.decision) for x in ledger.latest(r).collect()} == {("x", "EDIT"), ("y", "KEEP"), ("z", "KEEP")}
     assert {x.batch_id: x.status for x in ledger.reconciled(a, r).collect()} == {"b1": "superseded", "b2": "failed"}
-    assert [x.sample_id for x in ledger.blocked_singletons(a).collect()] == ["z"]
-    assert {(x.status, x.code): x.n for x in ledger.outcomes(a).collect()} == {("failed", "quota"): 1, ("failed", "provider_blocked"): 1, ("failed", "success"): 1, ("succeeded", "success"): 1}
-
-
-def test_run_batches_halves(frame):
-    def request(ids):
-        if "bad" in ids:
-            raise ValueError("cannot")
-        return [{"id": i, "decision": "KEEP"} for i in ids]
-
-    got = ledger.run_batches(frame([("b", ["a", "bad", "c", "d"])], "batch_id string, ids array<string>"), request).collect()
-    assert {g.id: (g.decision, g.error) for g in got} == {"a": ("KEEP", None), "bad": (None, "cannot"), "c": ("KEEP", None), "d": ("KEEP", None)}
+    assert {x.batch_id: x.status for x in ledger.reconciled(a, r, frame([("z",)], "sample_id string")).collect()} == {"b1": "superseded", "b2": "superseded"}
+    assert [(x.sample_id, x.response_metadata_json) for x in ledger.blocked_singletons(a).collect()] == [("z", '{"candidate_count": 0}')] and ledger.blocked_singletons(a, "quota").count() == 0
+    assert {(x.status, x.code): x.n for x in ledger.outcomes(a).collect()} == {("failed", "quota"): 1, ("failed", "prompt_blocked"): 1, ("failed", "success"): 1, ("succeeded", "success"): 1}
 
 
 def test_parse(frame):
@@ -125,7 +116,7 @@ def test_categories_ranking_rule(frame):
 
 def test_bootstrap_equal_arms(frame):
     rows = [(str(i), m, 3, 1, 0) for i in range(4) for m in "ab"]
-    b = E.bootstrap_err(frame(rows, "id string, model string, lai_token_errors long, system_token_errors long, exact long"), "a", "b", 20, 1).first()
+    b = E.bootstrap(frame(rows, "id string, model string, lai_token_errors long, system_token_errors long, exact long"), "a", "b", 20, 1).first()
     assert (b["replicates"], b["mean"], b["low"], b["high"]) == (20, 0.0, 0.0, 0.0)
 
 

@@ -33,10 +33,20 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Signs that NFC leaves as they are and that never compose with what stands beside them; any other sign (marks,
+#: Hangul parts, compatibility forms, letters beyond Latin) sends a text through :func:`nfc`.
+COMPOSED = r"^[\x00-\u02FF\u1E00-\u1EFF\u200B-\u200D\uFE0F\u2010-\u2027\u2030-\u205E\u20A0-\u20BF\u2190-\u21FF\u2600-\u27BF\x{1F300}-\x{1FAFF}]*\z"
+
+
+def composed(c: Column) -> Column:
+    """Unicode NFC; only texts with a sign that may change leave the JVM."""
+    return F.when(c.rlike(COMPOSED), c).otherwise(nfc(F.when(~c.rlike(COMPOSED), c)))
+
+
 def clean_text(col: Column | str) -> Column:
     """NFC, every run of Unicode white space to one space, stripped; blank or null gives null."""
     c = F.col(col) if isinstance(col, str) else col
-    return clean_nfc(nfc(c))
+    return clean_nfc(composed(c))
 
 
 def clean_nfc(c: Column) -> Column:

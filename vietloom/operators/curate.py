@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from ..session import written
 from .ranking import rank_within
 
 
@@ -22,13 +23,15 @@ def fates(df: DataFrame, protected: DataFrame, id_col: str, source: str, text: s
     """
     place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in sources]), F.col(source)), F.lit(0))
     rank = F.when(place > 0, place).otherwise(len(sources) + 1)
-    x = df.withColumn("_clean", clean_text(text)).withColumn("_key", F.struct(rank.alias("s"), F.col(id_col).alias("i"))).withColumn("_hash", F.sha2("_clean", 256))
+    x = df.withColumn("clean", clean_text(text)).withColumn("source_index", rank)
+    x = written(x.withColumn("_hash", F.sha2("clean", 256)), "cleaned")  # cleaned once, read by both sides below
     p = protected.select(F.col("sha256").alias("_hash"), F.lit(True).alias("_protected"))
-    x = x.join(p, "_hash", "left")
-    firsts = x.where("_clean is not null and _protected is null").groupBy("_hash").agg(F.min("_key").alias("_first"))
-    x = x.join(firsts, "_hash", "left")
-    fate = F.when(F.col("_clean").isNull(), "empty").when(F.col("_protected"), "protected_overlap").when(F.col("_key") > F.col("_first"), "duplicate").otherwise("keep")
-    return x.select(*df.columns, F.col("_clean").alias("clean"), rank.alias("source_index"), fate.alias("fate"))
+    some = x.where("_hash is not null").withColumn("_key", F.struct(F.col("source_index").alias("s"), F.col(id_col).alias("i")))
+    firsts = some.groupBy("_hash").agg(F.min("_key").alias("_first")).join(p, "_hash", "left")
+    fate = F.when(F.col("_protected"), "protected_overlap").when(F.col("_key") > F.col("_first"), "duplicate").otherwise("keep")
+    told = some.join(firsts, "_hash").select(*df.columns, "clean", "source_index", fate.alias("fate"))
+    blank = x.where("_hash is null").select(*df.columns, "clean", "source_index", F.lit("empty").alias("fate"))  # these meet no join
+    return told.unionByName(blank)
 
 
 def fate_counts(f: DataFrame, source: str) -> DataFrame:
@@ -81,11 +84,24 @@ def first_failing(*checks: tuple[Column, str], otherwise: str) -> Column:
 
 
 def consecutive_distinct(df: DataFrame, key: str, order: list[str], values: list[str], keep: int) -> DataFrame:
-    """Per key the newest ``keep`` rows that differ from the one before them, newest first."""
-    w = Window.partitionBy(key).orderBy(*order)
-    same = F.lit(True)
+    """Per key the newest ``keep`` rows that differ from the one before them, newest first.
+
+    The row before is found by rank, in a join on (key, rank), so a key with a third of all rows is spread; the last
+    window sees ``keep`` rows of a key from each task.
+    """
+    r = rank_within(df, [key], order, "_r").drop("_r_n")
+    before = r.select(F.col(key).alias("_k"), (F.col("_r") + 1).alias("_p"), *[F.col(v).alias(f"_b_{v}") for v in values])
+    same = F.col("_p").isNotNull()
     for v in values:
-        same &= F.lag(v).over(w).eqNullSafe(F.col(v))
-    first = F.row_number().over(w) == 1
-    x = df.withColumn("_same", same & ~first).where("not _same").drop("_same")
-    return x.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order]))).where(F.col("place") <= keep)
+        same &= F.col(f"_b_{v}").eqNullSafe(F.col(v))
+    x = r.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_p")), "left").where(~same)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_r").desc()))
+    return x.select(*df.columns, "_r").withColumn("place", place).where(F.col("place") <= keep).drop("_r")
+
+
+def check_sources(specs: list[tuple[str, str]], allowed: list[str]) -> dict[str, str]:
+    """(name, path) of raw sources as a dictionary: each allowed name once, no other; else an error."""
+    names = [n for n, _ in specs]
+    if sorted(names) != sorted(allowed):
+        raise ValueError(f"sources must be exactly {allowed}, each once")
+    return dict(specs)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edits import let, token_edits, token_levenshtein, tokens
-from ..session import written
-from .ranking import rank_within
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -28,7 +28,10 @@ def row_stats(df: DataFrame) -> DataFrame:
     ``df`` has id, model, input_text, target_text, prediction_text. Computed once; everything else sums integers.
     """
     i, t, p = tokens(F.col("input_text")), tokens(F.col("target_text")), tokens(F.col("prediction_text"))
-    x = df.withColumn("_g", token_edits("input_text", "target_text")).withColumn("_p", token_edits("input_text", "prediction_text"))
+    # equal texts have no edits: only pairs that differ leave the JVM
+    none = F.array().cast("array<struct<src:string,tgt:string>>")
+    edits = lambda a, b: F.when(F.col(a) == F.col(b), none).otherwise(token_edits(a, F.when(F.col(a) != F.col(b), F.col(b))))
+    x = df.withColumn("_g", edits("input_text", "target_text")).withColumn("_p", edits("input_text", "prediction_text"))
     return x.select(
         "id", "model", F.size("_g").cast("long").alias("gold_edits"), F.size("_p").cast("long").alias("predicted_edits"), multiset_common(F.col("_g"), F.col("_p")).alias("correct_edits"),
         token_levenshtein(i, t).alias("lai_token_errors"), token_levenshtein(p, t).alias("system_token_errors"), (F.col("prediction_text") == F.col("target_text")).cast("long").alias("exact"),
@@ -69,29 +72,14 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.where("a is not null and b is not null").agg(c(1, 0).alias("win"), c(0, 1).alias("loss"), c(1, 1).alias("both_right"), c(0, 0).alias("both_wrong"))
 
 
-def draw(replicate: Column, slot: Column, n: Column, seed: int) -> Column:
-    """The row number (from 0) that a bootstrap slot draws: a hash, so both arms and all engines draw alike."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), slot.cast("string"))), 1, 12), 16, 10).cast("long"), n)
-
+#: Upper ends of the Poisson(1) distribution: P(weight <= k) for k = 0, 1, ...
+POISSON = [sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(10)]
 
-def bootstrap_err(stats: DataFrame, a: str, b: str, replicates: int, seed: int) -> DataFrame:
-    """Paired bootstrap of the difference in error reduction, ``a`` minus ``b``: mean and the 95 % interval.
 
-    Texts are reduced to integers per row once; replicates only sum drawn rows, with map-side sums per replicate. The
-    last window sorts one row per replicate.
-    """
-    x = stats.where(F.col("model").isin(a, b)).groupBy("id").agg(
-        F.max("lai_token_errors").alias("lai"), F.max(F.when(F.col("model") == a, F.col("system_token_errors"))).alias("ea"), F.max(F.when(F.col("model") == b, F.col("system_token_errors"))).alias("eb"))
-    x = written(rank_within(x, [], ["id"], "row").select((F.col("row") - 1).alias("row"), "lai", "ea", "eb"), "stats")
-    spark = stats.sparkSession
-    n = x.count()
-    grid = spark.range(replicates * max(n, 1)).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), (F.col("id") % max(n, 1)).alias("slot"))
-    d = grid.withColumn("row", draw(F.col("rep"), F.col("slot"), F.lit(max(n, 1)), seed)).join(x, "row")
-    r = d.groupBy("rep").agg(F.sum("lai").alias("lai"), F.sum("ea").alias("ea"), F.sum("eb").alias("eb")).withColumn("delta", err(F.col("lai"), F.col("ea")) - err(F.col("lai"), F.col("eb")))
-    k = Window.orderBy("delta", "rep")
-    r = r.withColumn("k", F.row_number().over(k) - 1)
-    at = lambda q: F.max(F.when(F.col("k") == int(q * (replicates - 1)), F.col("delta")))
-    return r.agg(F.count("*").alias("replicates"), F.avg("delta").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
+def weight(replicate: Column, row: Column, seed: int) -> Column:
+    """How often a bootstrap replicate takes a row: Poisson(1) by a hash of both, so all arms and engines draw alike."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), row.cast("string"))), 1, 8), 16, 10).cast("long")
+    return sum((u >= int(p * 2**32)).cast("int") for p in POISSON)
 
 
 def f1(gold: Column, predicted: Column, correct: Column) -> Column:
@@ -99,23 +87,30 @@ def f1(gold: Column, predicted: Column, correct: Column) -> Column:
     return ratio(2 * p * r, p + r)
 
 
-def bootstrap_deltas(stats: DataFrame, a: str, b: str, replicates: int, seed: int) -> DataFrame:
-    """Paired bootstrap of the differences in F1 and in error reduction, ``a`` minus ``b``, from the same draws as
-    :func:`bootstrap_err`: one row (metric, replicates, mean, low, high) for each."""
-    both = ["gold_edits", "lai_token_errors"]
-    arms = [(m, k, c) for m, k in ((a, "a"), (b, "b")) for c in ("predicted_edits", "correct_edits", "system_token_errors")]
-    names = [*both, *[f"{c}_{k}" for _, k, c in arms]]
-    x = stats.where(F.col("model").isin(a, b)).groupBy("id").agg(*[F.max(c).alias(c) for c in both], *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{k}") for m, k, c in arms])
-    x = written(rank_within(x, [], ["id"], "row").select((F.col("row") - 1).alias("row"), *names), "stats")
-    n = max(x.count(), 1)
-    grid = stats.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("slot"))
-    s = grid.withColumn("row", draw(F.col("rep"), F.col("slot"), F.lit(n), seed)).join(x, "row").groupBy("rep").agg(*[F.sum(c).alias(c) for c in names])
-    f = lambda k: f1(F.col("gold_edits"), F.col(f"predicted_edits_{k}"), F.col(f"correct_edits_{k}"))
-    e = lambda k: err(F.col("lai_token_errors"), F.col(f"system_token_errors_{k}"))
-    pair = lambda name, d: F.struct(F.lit(name).alias("metric"), d.alias("delta"))
-    r = s.select("rep", F.explode(F.array(pair("f1", f("a") - f("b")), pair("ERR", e("a") - e("b")))).alias("x")).select("rep", "x.*")
-    r = r.withColumn("k", F.row_number().over(Window.partitionBy("metric").orderBy("delta", "rep")) - 1)
-    at = lambda q: F.max(F.when(F.col("k") == int(q * (replicates - 1)), F.col("delta")))
+def bootstrap(stats: DataFrame, a: str, b: str, replicates: int, seed: int) -> DataFrame:
+    """Paired bootstrap of the differences in F1 and in error reduction, ``a`` minus ``b``, from the same draws: one row
+    (metric, replicates, mean, low, high) for each metric that ``stats`` has the sums for, with the 95 % interval.
+
+    Each row counts a Poisson(1) number of times in each replicate. Texts are reduced to integers per row once; the
+    replicates of a row are made beside it and summed on the map side, so a replicate is one row per task. The last
+    window sorts one row per replicate.
+    """
+    both = [c for c in ("gold_edits", "lai_token_errors") if c in stats.columns]
+    arms = [c for c in ("predicted_edits", "correct_edits", "system_token_errors") if c in stats.columns]
+    names = [*both, *[f"{c}_{k}" for k in "ab" for c in arms]]
+    x = stats.where(F.col("model").isin(a, b)).groupBy("id").agg(*[F.max(c).alias(c) for c in both], *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{k}") for m, k in ((a, "a"), (b, "b")) for c in arms])
+    each = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", weight(F.col("rep"), F.col("id"), seed))
+    s = each.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+    deltas = []
+    if "correct_edits" in arms:
+        f = lambda k: f1(F.col("gold_edits"), F.col(f"predicted_edits_{k}"), F.col(f"correct_edits_{k}"))
+        deltas.append(F.struct(F.lit("f1").alias("metric"), (f("a") - f("b")).alias("delta")))
+    if "system_token_errors" in arms:
+        e = lambda k: err(F.col("lai_token_errors"), F.col(f"system_token_errors_{k}"))
+        deltas.append(F.struct(F.lit("ERR").alias("metric"), (e("a") - e("b")).alias("delta")))
+    r = s.select("rep", F.explode(F.array(*deltas)).alias("x")).select("rep", "x.*")
+    r = r.withColumn("k", F.row_number().over(Window.partitionBy("metric").orderBy("delta", "rep")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("metric")))
+    at = lambda q: F.max(F.when(F.col("k") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col("delta")))
     return r.groupBy("metric").agg(F.count("*").alias("replicates"), F.avg("delta").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
 
 
@@ -159,3 +154,14 @@ def factorial_effects(df: DataFrame) -> DataFrame:
     m = lambda s, h: F.avg(F.when((F.col("size") == s) & (F.col("horizon") == h), F.col("value")))
     x = df.agg(m("S", 3).alias("S3"), m("S", 8).alias("S8"), m("L", 3).alias("L3"), m("L", 8).alias("L8"))
     return x.select("*", (F.col("L3") - F.col("S3")).alias("effect_3"), (F.col("L8") - F.col("S8")).alias("effect_8"), ((F.col("L8") - F.col("L3")) - (F.col("S8") - F.col("S3"))).alias("interaction"))
+
+
+def three_way(df: DataFrame, models: tuple[str, str, str] = ("model_a", "model_b", "model_c")) -> DataFrame:
+    """A row per id: the three predictions, their categories, and whether the last model wins, loses or ties by exactness."""
+    a, b, c = models
+    x = df.withColumn("category", category(F.col("input_text"), F.col("target_text"), F.col("prediction_text")))
+    pick = lambda m, v: F.max(F.when(F.col("model") == m, F.col(v)))
+    x = x.groupBy("id", "input_text", "target_text").agg(*[pick(m, v).alias(f"{m}_{n}") for m in models for v, n in (("prediction_text", "prediction"), ("category", "category"))])
+    right = lambda m: (F.col(f"{m}_prediction") == F.col("target_text")).cast("int")
+    versus = lambda m: F.when(right(c) > right(m), c).when(right(c) < right(m), m).otherwise("tie").alias(f"{c}_vs_{m[-1]}")
+    return x.select("*", versus(a), versus(b))

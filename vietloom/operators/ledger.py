@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,55 +33,56 @@ def samples(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("sample_id", F.explode(F.from_json("sample_ids_json", "array<string>")))
 
 
-def reconciled(attempts: DataFrame, results: DataFrame) -> DataFrame:
-    """Batches whose last attempt failed: superseded if every sample of theirs has a result, else still failed."""
+def reconciled(attempts: DataFrame, results: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Batches whose last attempt failed: superseded if every sample of theirs has a result in the namespace or is
+    excluded from review, else still failed. ``excluded`` has sample_id."""
     failed = batch_state(attempts).where("status = 'failed'").select("batch_id", *NAMESPACE)
     ids = samples(attempts).select("batch_id", *NAMESPACE, "sample_id").distinct().join(failed, ["batch_id", *NAMESPACE], "left_semi")
-    done = results.select(*KEY).distinct().withColumn("_done", F.lit(True))
-    x = ids.join(done, KEY, "left").groupBy("batch_id", *NAMESPACE).agg(F.count("*").alias("n_samples"), F.count("_done").alias("n_resolved"))
+    x = ids.join(results.select(*KEY).distinct().withColumn("_done", F.lit(1)), KEY, "left")
+    if excluded is not None:
+        x = x.join(excluded.select("sample_id").distinct().withColumn("_out", F.lit(1)), "sample_id", "left").withColumn("_done", F.coalesce("_done", "_out"))
+    x = x.groupBy("batch_id", *NAMESPACE).agg(F.count("*").alias("n_samples"), F.count("_done").alias("n_resolved"))
     return x.withColumn("status", F.when(F.col("n_samples") == F.col("n_resolved"), "superseded").otherwise("failed"))
 
 
-def blocked_singletons(attempts: DataFrame, code: str = "provider_blocked") -> DataFrame:
-    """Attempts of one sample alone that the provider blocked."""
+def blocked_singletons(attempts: DataFrame, code: str = "prompt_blocked") -> DataFrame:
+    """Attempts of one sample alone that were blocked before an answer, with what the provider said of them."""
     one = F.json_array_length("sample_ids_json") == 1
-    return samples(attempts.where(one & (F.col("error_code") == code))).select("attempt_id", "sample_id", *NAMESPACE)
+    return samples(attempts.where(one & (F.col("error_code") == code))).select("attempt_id", "sample_id", *NAMESPACE, "response_metadata_json")
 
 
-def pending(rows: DataFrame, done: DataFrame, id_col: str, size: int = 15) -> DataFrame:
-    """Batches of rows without a result: (batch_id, n, first id), ids of a batch in order hashed to its name."""
-    r = rank_within(rows.select(id_col).distinct().join(done.select(id_col), id_col, "left_anti"), [], [id_col])
-    b = r.groupBy(F.floor((F.col("rank") - 1) / size).alias("batch_no")).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))  # at most ``size`` ids
-    return b.select("batch_no", F.substring(F.sha2(F.concat(F.lit('["'), F.array_join("ids", '","'), F.lit('"]')), 256), 1, 24).alias("batch_id"), F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"))
+def batch_name(prompt_hash: Column, ids: Column) -> Column:
+    """The first 24 digits of the SHA-256 of the prompt's hash and the ids in order, as canonical JSON."""
+    listed = F.to_json(F.struct(ids.alias("ids"), prompt_hash.alias("prompt_hash")))
+    return F.substring(F.sha2(listed, 256), 1, 24)
 
 
-def run_batches(batches: DataFrame, request: Callable[[list[str]], list[dict]], tries: int = 5) -> DataFrame:
-    """Calls ``request`` for each batch of ids on the executors; one that fails is halved until single ids remain.
+def pending(rows: DataFrame, results: DataFrame, id_col: str, namespaces: list[tuple[str, str, str]], size: int = 15, excluded: DataFrame | None = None) -> DataFrame:
+    """Batches of rows that have no result in a namespace and are not excluded: (namespace, batch_no, batch_id, ids).
 
-    ``batches`` has batch_id and ids; the result has a row per id with decision, or error for single ids that fail.
+    ``namespaces`` are (prompt_version, prompt_hash, llm_model), a handful by nature; ids go by their order.
     """
-
-    def one(ids: list[str]) -> list[tuple]:
-        last = ""
-        for _ in range(tries):
-            try:
-                got = {r["id"]: r for r in request(ids)}
-                if set(got) != set(ids):
-                    raise ValueError("response ids do not match")
-                return [(i, got[i].get("decision"), got[i].get("corrected_text"), got[i].get("reason_code"), None) for i in ids]
-            except ValueError as e:
-                last = str(e)
-                if len(ids) > 1:
-                    h = len(ids) // 2
-                    return one(ids[:h]) + one(ids[h:])
-        return [(i, None, None, None, last[:1000]) for i in ids]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(b, *r) for b, ids in zip(p.batch_id, p.ids, strict=True) for r in one(list(ids))]
-            yield pd.DataFrame(rows, columns=["batch_id", "id", "decision", "corrected_text", "reason_code", "error"])
-
-    return batches.select("batch_id", "ids").mapInPandas(run, "batch_id string, id string, decision string, corrected_text string, reason_code string, error string")
+    x = rows.select(F.col(id_col).alias("sample_id")).where("sample_id is not null").distinct()
+    if excluded is not None:
+        x = x.join(excluded.select("sample_id"), "sample_id", "left_anti")
+    each = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(NAMESPACE, n, strict=True)]) for n in namespaces])
+    x = x.select("sample_id", F.explode(each).alias("n")).select("sample_id", "n.*").join(results.select(*KEY).distinct(), KEY, "left_anti")
+    r = rank_within(x, NAMESPACE, ["sample_id"])
+    b = r.groupBy(*NAMESPACE, F.floor((F.col("rank") - 1) / size).alias("batch_no")).agg(F.array_sort(F.collect_list("sample_id")).alias("ids"))  # at most ``size`` ids
+    return b.select(*NAMESPACE, "batch_no", batch_name(F.col("prompt_hash"), F.col("ids")).alias("batch_id"), "ids")
+
+
+def json_value(c: Column) -> Column:
+    """A string as JSON, quoted and escaped; null as null."""
+    x = F.to_json(F.array(c))
+    return F.when(c.isNull(), "null").otherwise(F.substring(x, F.lit(2), F.length(x) - 2))
+
+
+def rendered(template: Column, samples: Column) -> Column:
+    """A prompt: the template with an array of samples (id, input_text, candidate_text) as indented JSON."""
+    fields = (("id", "id"), ("source", "input_text"), ("candidate", "candidate_text"))
+    one = lambda s: F.concat(F.lit("  {\n"), F.concat_ws(",\n", *[F.concat(F.lit(f'    "{k}": '), json_value(s[c])) for k, c in fields]), F.lit("\n  }"))
+    return F.replace(template, F.lit("{samples_json}"), F.concat(F.lit("[\n"), F.array_join(F.transform(samples, one), ",\n"), F.lit("\n]")))
 
 
 def error_class(message: Column) -> Column:

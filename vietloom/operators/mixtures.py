@@ -75,8 +75,9 @@ def slots(gold: DataFrame, pseudo_epochs: DataFrame, seed: int) -> DataFrame:
 
     Pseudo rows are placed by their position, not their id, so arms that share an epoch share its layout.
     """
-    n = pseudo_epochs.select("epoch").distinct()
-    g = n.withColumn("_one", F.lit(1)).join(gold.select("id").withColumn("_one", F.lit(1)), "_one").select("epoch", "id", F.lit("gold").alias("label_source"), F.col("id").alias("place"))
+    numbers = sorted(r[0] for r in pseudo_epochs.select("epoch").distinct().collect())  # a training run's epochs, not its rows
+    each = F.array(*[F.lit(e).cast("long") for e in numbers]).cast("array<long>")
+    g = gold.select(F.explode(each).alias("epoch"), "id", F.lit("gold").alias("label_source"), F.col("id").alias("place"))
     p = rank_within(pseudo_epochs, ["epoch"], ["id"], "place").select("epoch", "id", F.lit("pseudo").alias("label_source"), F.col("place").cast("string").alias("place"))
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), "label_source", "place"), 256)
     x = rank_within(g.unionByName(p).withColumn("_h", h), ["epoch"], ["_h", "id"], "slot")
@@ -107,5 +108,3 @@ def ordered_digest(df: DataFrame, id_col: str, order: str, block: int = 10_000)
     join = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]), ",")
     b = r.groupBy(F.floor((F.col("rn") - 1) / block).alias("block")).agg(F.sha2(join(F.struct(F.col("rn").alias("k"), F.col("id").cast("string").alias("v"))), 256).alias("h"), F.count("*").alias("n"))
     return b.agg(F.sum("n").alias("n"), F.sha2(join(F.struct(F.col("block").alias("k"), F.col("h").alias("v"))), 256).alias("digest"))
-
-

@@ -66,9 +66,23 @@ def stratified(df: DataFrame, strata: list[str], quota: DataFrame, id_col: str,
     return h.join(quota, strata).where(F.col("selection_rank") <= F.col("quota")).drop("_h", "selection_rank_n")
 
 
+def thinned(df: DataFrame, h: str, n: int) -> DataFrame:
+    """Rows among which are the ``n`` of least ``h`` (a SHA-256 in hex), and about twice as many at most.
+
+    A bound on the hash is taken from the number of rows, so that a top-n afterwards does not bring ``n`` rows of every
+    task together; should the bound let too few through, all rows stay.
+    """
+    total = df.count()
+    if total <= 4 * n + 1000:
+        return df
+    below = df.where(F.col(h) < f"{int((2 * n + 200) / total * 2**60):015x}")
+    return below if below.count() >= n else df
+
+
 def sample_n(df: DataFrame, id_col: str, seed: int, n: int) -> DataFrame:
-    """``n`` rows in seeded hash order: a distributed top-n."""
-    return df.withColumn("_h", hash_order(seed, id_col)).orderBy("_h", id_col).limit(n).drop("_h")
+    """``n`` rows in seeded hash order: a distributed top-n over rows thinned by their hash."""
+    x = df.withColumn("_h", hash_order(seed, id_col))
+    return thinned(x, "_h", n).orderBy("_h", id_col).limit(n).drop("_h")
 
 
 def complement(df: DataFrame, prior: DataFrame, id_col: str, order: str) -> DataFrame:

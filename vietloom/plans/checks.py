@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions.edits import chunk_similarity, token_edits, tokens
+from ..functions.edits import similarity, tokens
 from ..functions.text import clean_text
 from ..operators import ledger
 from ..operators.ranking import rank_within
@@ -72,19 +70,15 @@ def q_prompts(spark, d):
     r = rank_within(c.join(done, "id", "left_anti"), [], ["id"])
     rows = F.array_sort(F.collect_list(F.struct("rank", "id", "c.input_text", "c.candidate_text")))  # at most 15 of them
     b = r.groupBy(F.floor((F.col("rank") - 1) / 15).alias("batch_no")).agg(rows.alias("s"))
-    samples = F.to_json(F.transform("s", lambda x: x.dropFields("rank")))
-    return b.select("batch_no", F.replace(F.lit("Review these samples:\n{samples_json}\n"), F.lit("{samples_json}"), samples).alias("prompt"))
-
-
-@F.pandas_udf(DoubleType())
-def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([chunk_similarity(x, y) for x, y in zip(a, b, strict=True)])
+    return b.select("batch_no", ledger.rendered(F.lit("Review these samples:\n{samples_json}\n"), F.col("s")).alias("prompt"))
 
 
 def q_likeness(spark, d):
-    """How alike the sides of each distinct edit are."""
-    e = read(spark, d, "gold").select(F.explode(token_edits("input_text", "target_text")).alias("e")).select("e.src", "e.tgt").distinct()
-    return e.select("src", "tgt", F.round(_likeness("src", "tgt"), 9).alias("similarity"))
+    """How alike the words at equal places of gold pairs are, a word against one word and against two."""
+    g = read(spark, d, "gold").select(tokens(F.col("input_text")).alias("a"), tokens(F.col("target_text")).alias("b"))
+    both = F.transform("a", lambda x, i: F.array(F.struct(F.array(x).alias("s"), F.slice("b", i + 1, 1).alias("t")), F.struct(F.array(x).alias("s"), F.slice("b", i + 1, 2).alias("t"))))
+    e = g.select(F.explode(F.flatten(both)).alias("e")).select("e.s", "e.t").where("size(t) > 0").distinct()
+    return e.select(F.array_join("s", " ").alias("src"), F.array_join("t", " ").alias("tgt"), F.round(similarity(F.col("s"), F.col("t")), 9).alias("similarity"))
 
 
 def q_resolved(spark, d):
@@ -101,6 +95,8 @@ QUERIES = {
 
 _K, _N = ", ".join(ledger.KEY), ", ".join(ledger.NAMESPACE)
 _bad = lambda c: f"count_if(coalesce({c}, true))::BIGINT"
+_TOKENS = f"list_filter(regexp_split_to_array({{}}, '{WS_SQL.replace('{', '{{').replace('}', '}}')}+'), lambda x: x <> '')"
+_PLAIN = "replace(strip_accents(lower({})), 'đ', 'd')"
 ORACLE = {
     "candidate_contract": f"SELECT count(*) AS n_rows, {_bad(f'original_source NOT IN {in_sql(SOURCES)}')} AS bad_source, {_bad('(' + clean_sql('candidate_text') + ' IS NOT NULL) <> (generation_status = ' + chr(39) + 'generated_text' + chr(39) + ')')} AS status_unlike_text, {_bad('isnan(model_a_confidence) OR model_a_confidence IS NULL')} AS no_confidence, {_bad('NOT regexp_matches(generation_config_hash, ' + chr(39) + '^[a-f0-9]{64}$' + chr(39) + ')')} AS bad_hash, {_bad('sequence_token_count < 1')} AS bad_count FROM candidates",
     "prediction_validation": f"WITH {evaluation._PRED}, x AS (SELECT p.*, {clean_sql('input_text')} AS gi FROM p LEFT JOIN gold USING (id)), t AS (SELECT model, count_if(n > 1)::BIGINT AS repeated_ids FROM (SELECT model, id, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1) SELECT model, count(*) AS n_rows, count_if(p = '')::BIGINT AS empty, count_if(i IS DISTINCT FROM gi)::BIGINT AS misaligned, any_value(repeated_ids) AS repeated_ids FROM x JOIN t USING (model) GROUP BY 1",
@@ -109,5 +105,15 @@ ORACLE = {
     "example_lookup": "SELECT place, id, input_text FROM (VALUES " + ", ".join(f"({i}::BIGINT, {x})" for i, x in enumerate(LOOKUP)) + ") w(place, n) LEFT JOIN corpus ON try_cast(regexp_extract(id, '(\\d+)$', 1) AS INT) = n",
     "win_tie_histogram": f"SELECT winner, count(*) AS n FROM ({evaluation.ORACLE['pairwise_winner']}) GROUP BY 1",
     "request_guard": f"SELECT CASE WHEN {clean_sql('input_text')} IS NULL THEN 'empty' WHEN len(list_filter(regexp_split_to_array(input_text, '{WS_SQL}+'), lambda x: x <> '')) > {LIMIT} THEN 'too_long' ELSE 'ok' END AS fate, count(*) AS n FROM corpus GROUP BY 1",
+    "prompt_render": """WITH c AS (SELECT id, input_text, candidate_text FROM candidates WHERE id NOT IN (SELECT sample_id FROM review_results) QUALIFY row_number() OVER (PARTITION BY id ORDER BY input_text DESC NULLS LAST, candidate_text DESC NULLS LAST) = 1), r AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 15 AS b FROM c),
+ j AS (SELECT b, id, '  {' || chr(10) || '    "id": ' || to_json(id) || ',' || chr(10) || '    "source": ' || coalesce(to_json(input_text)::VARCHAR, 'null') || ',' || chr(10) || '    "candidate": ' || coalesce(to_json(candidate_text)::VARCHAR, 'null') || chr(10) || '  }' AS s FROM r)
+ SELECT b::BIGINT AS batch_no, 'Review these samples:' || chr(10) || '[' || chr(10) || string_agg(s, ',' || chr(10) ORDER BY id) || chr(10) || ']' || chr(10) AS prompt FROM j GROUP BY 1""",
+    "diff_similarity": f"""WITH g AS (SELECT {_TOKENS.format("input_text")} AS a, {_TOKENS.format("target_text")} AS b FROM gold), p AS (SELECT a, b, unnest(range(1, len(a) + 1)) AS i FROM g),
+ e AS (SELECT DISTINCT a[i] AS src, t FROM (SELECT a, i, b[i:i] AS t FROM p UNION ALL SELECT a, i, b[i:i + 1] FROM p) WHERE len(t) > 0),
+ n AS (SELECT src, array_to_string(t, ' ') AS tgt, {_PLAIN.format("src")} AS s, list_transform(t, lambda x: {_PLAIN.format("x")}) AS w FROM e), q AS (SELECT *, array_to_string(w, ' ') AS t1, array_to_string(w, '') AS t0, array_to_string(list_transform(w, lambda x: x[1]), '') AS ini FROM n),
+ {evaluation._LEV.replace("RECURSIVE lev", "toks AS (SELECT DISTINCT {'x': s, 'y': y} AS k, string_split(s, '') AS a, string_split(y, '') AS b FROM (SELECT s, t0 AS y FROM q UNION SELECT s, t1 FROM q)), lev")},
+ z AS (SELECT q.*, least(x.distance, y.distance) AS d, regexp_replace(s, '[aeiouy]', '', 'g') AS bs, regexp_replace(t0, '[aeiouy]', '', 'g') AS bt FROM q JOIN dist x ON x.k = {{'x': s, 'y': t0}} JOIN dist y ON y.k = {{'x': s, 'y': t1}}),
+ v AS (SELECT *, greatest(0, 1 - d / greatest(length(s), length(t0), 1)) AS near FROM z)
+ SELECT src, tgt, round(CASE WHEN s = t1 OR s = t0 THEN 1.0 WHEN s = ini THEN 0.95 WHEN len(w) > 1 AND s = w[1][1] || array_to_string(w[2:], '') THEN 0.92 WHEN bs <> '' AND bs = bt THEN greatest(near, 0.85) ELSE near END, 9)::DOUBLE AS similarity FROM v""".replace("WITH g", "WITH RECURSIVE g", 1),
     "resolved_samples": f"WITH s AS (SELECT DISTINCT {_N}, unnest(from_json(sample_ids_json, '[\"VARCHAR\"]')) AS sample_id FROM review_attempts), r AS (SELECT DISTINCT {_K}, 1 AS done FROM review_results) SELECT {_N}, count(*) AS n_samples, count(done) AS n_resolved FROM s LEFT JOIN r USING ({_K}) GROUP BY {_N}",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WS_CLASS, clean_text
 from ..operators import curate
 from ..operators.ranking import rank_within
+from ..operators.weak import is_artifact
 from .common import SOURCES, WS_SQL, case_sql, clean_sql, in_sql, read
 
 
@@ -47,8 +48,10 @@ def q_hashes(spark, d):
 
 
 def q_leakage(spark, d):
+    """Leaks in a corpus to which held-out texts were added, spaced otherwise."""
     h = curate.protected_hashes(_held(spark, d), "input_text")
-    c = read(spark, d, "corpus").select("id", F.sha2(clean_text("input_text"), 256).alias("sha256"))
+    added = _held(spark, d).select(F.concat(F.lit("leak_"), "id").alias("id"), F.concat(F.lit(" \t"), F.replace("input_text", F.lit(" "), F.lit("  "))).alias("input_text"))
+    c = read(spark, d, "corpus").select("id", "input_text").unionByName(added).select("id", F.sha2(clean_text("input_text"), 256).alias("sha256"))
     return c.join(h, "sha256", "left_semi").select("id", "sha256")
 
 
@@ -73,8 +76,7 @@ def q_text_stats(spark, d):
 
 def q_artifact(spark, d):
     t = F.regexp_replace("candidate_text", f"^{WS_CLASS}+|{WS_CLASS}+$", "")
-    a = t.startswith("{") | t.startswith("[") | t.startswith("```") | t.contains('"decision"')
-    return read(spark, d, "candidates").groupBy("original_source").agg(F.count_if(a).alias("n_artifacts"), F.count_if(t == "").alias("n_blank"))
+    return read(spark, d, "candidates").groupBy("original_source").agg(F.count_if(is_artifact(t)).alias("n_artifacts"), F.count_if(t == "").alias("n_blank"))
 
 
 def q_history(spark, d):
@@ -101,7 +103,7 @@ ORACLE = {
     "corpus_prepare": f"WITH {_FATES} SELECT printf('corpus_%06d', row_number() OVER (ORDER BY s, id)) AS new_id, id, original_source, t AS input_text FROM f WHERE fate = 'keep'",
     "gold_pairs": f"SELECT id, 'pair_' || split || '_' || printf('%06d', row_number() OVER (PARTITION BY split ORDER BY id)) AS pair_id, split, {_C} AS input_text, {_T} AS target_text FROM gold WHERE {_C} IS NOT NULL AND {_T} IS NOT NULL",
     "protected_hashes": f"SELECT DISTINCT sha256({_C}) AS sha256 FROM gold WHERE split IN ('dev', 'test') AND {_C} IS NOT NULL",
-    "leakage_check": f"SELECT id, sha256({_C}) AS sha256 FROM corpus WHERE {_C} IN (SELECT {_C} FROM gold WHERE split IN ('dev', 'test') AND {_C} IS NOT NULL)",
+    "leakage_check": f"SELECT id, sha256({_C}) AS sha256 FROM (SELECT id, input_text FROM corpus UNION ALL SELECT 'leak_' || id, chr(9) || replace(input_text, ' ', '  ') FROM gold WHERE split IN ('dev', 'test')) WHERE {_C} IN (SELECT {_C} FROM gold WHERE split IN ('dev', 'test') AND {_C} IS NOT NULL)",
     "data_validation": f"""WITH g AS (SELECT *, {_C} AS i, {_T} AS t FROM gold), c AS (SELECT *, {_C} AS i FROM corpus) SELECT
  (SELECT count(*) FROM g WHERE split IS NULL OR split NOT IN ('train', 'dev', 'test')) AS bad_split,
  (SELECT count(*) FROM g WHERE label_source IS DISTINCT FROM 'human') AS bad_label_source,

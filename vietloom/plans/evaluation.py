@@ -31,6 +31,17 @@ def _predictions(spark, d):
         "id", "input_text", "target_text", "x.model", F.col("x.p").alias("prediction_text"))
 
 
+def _built(spark, d):
+    """Pairs and predictions whose edits are known: the tokens of a target are numbered, hence unlike each other; of every
+    six the first is edited in the target, of every twelve the first by model_c, which wrongly edits each fourth of six."""
+    g = read(spark, d, "gold").select("id", D.tokens(F.col("target_text")).alias("w")).where("size(w) > 0")
+    tok = lambda edit: F.array_join(F.transform("w", lambda x, i: edit(F.concat(x, F.lit("#"), i.cast("string")), i)), " ")
+    x = g.select("id", tok(lambda x, i: x).alias("input_text"), tok(lambda x, i: F.when(i % 6 == 0, F.concat(x, F.lit("!"))).otherwise(x)).alias("target_text"), tok(lambda x, i: F.when(i % 12 == 0, F.concat(x, F.lit("!"))).when(i % 6 == 3, F.concat(x, F.lit("?"))).otherwise(x)).alias("c"))
+    b = F.when(F.expr(bucket("id", 2)) == 0, F.col("target_text")).otherwise(F.col("input_text"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), t.alias("p")) for m, t in (("model_a", F.col("input_text")), ("model_b", b), ("model_c", F.col("c")))])).alias("x")
+    return x.select("id", "input_text", "target_text", each).select("id", "input_text", "target_text", "x.model", F.col("x.p").alias("prediction_text"))
+
+
 def _r(c):
     return F.round(c, 9)
 
@@ -41,11 +52,15 @@ def q_levenshtein(spark, d):
 
 
 def q_edits(spark, d):
-    return read(spark, d, "gold").select("id", F.explode(D.token_edits("input_text", "target_text")).alias("e")).groupBy("e.src", "e.tgt").agg(F.count("*").alias("n"))
+    """Edits of pairs whose edits are known."""
+    x = _built(spark, d).where("model = 'model_c'")
+    return x.select("id", F.explode(D.token_edits("input_text", "prediction_text")).alias("e")).select("id", "e.src", "e.tgt")
 
 
 def q_ratio(spark, d):
-    return read(spark, d, "gold").select("id", _r(D.char_edit_ratio("input_text", "target_text")).alias("edit_ratio"))
+    """Of an id between signs that it does not hold the id is all that matches."""
+    g = read(spark, d, "gold").select("id", F.expr(bucket("id", 7)).cast("int").alias("n"))
+    return g.select("id", _r(D.char_edit_ratio("id", F.concat(F.expr("repeat('~', n)"), "id", F.lit("~~")))).alias("edit_ratio"))
 
 
 def q_multiset(spark, d):
@@ -59,6 +74,12 @@ def _error_metrics(spark, d):
 
 
 def q_metrics(spark, d):
+    """Edit metrics of predictions whose edits are known."""
+    return E.metrics(E.row_stats(_built(spark, d)), ["model"])
+
+
+def q_metrics_gold(spark, d):
+    """Edit metrics of predictions over the gold pairs themselves."""
     return E.metrics(E.row_stats(_predictions(spark, d)), ["model"])
 
 
@@ -102,16 +123,20 @@ def q_winner(spark, d):
 
 
 def q_bootstrap(spark, d):
-    x = E.bootstrap_err(E.error_stats(_predictions(spark, d)), "model_c", "model_b", REPLICATES, SEED)
+    x = E.bootstrap(E.error_stats(_predictions(spark, d)), "model_c", "model_b", REPLICATES, SEED)
     return x.select("replicates", *[_r(c).alias(c) for c in ("mean", "low", "high")])
 
 
 def q_bootstrap_deltas(spark, d):
-    """The reference's resamples, of F1 and error reduction alike."""
-    x = E.bootstrap_deltas(E.row_stats(_predictions(spark, d)), "model_c", "model_b", RESAMPLES, SEED)
+    """The resamples that the published intervals have, of F1 and error reduction alike."""
+    x = E.bootstrap(E.row_stats(_built(spark, d)), "model_c", "model_b", RESAMPLES, SEED)
     return x.select("metric", "replicates", *[_r(c).alias(c) for c in ("mean", "low", "high")])
 
 
+def q_three_way(spark, d):
+    return E.three_way(_predictions(spark, d)).drop("input_text", "target_text")
+
+
 def q_first_errors(spark, d):
     e = _categories(spark, d).where("category <> 'correct'").select("model", "id", "category")
     return rank_within(e, ["model"], ["id"], "place").where("place <= 20").drop("place_n")
@@ -164,7 +189,12 @@ def q_weak_drops(spark, d):
 
 
 def q_weak_edit(spark, d):
-    return _weak(spark, d, 0.8).groupBy("reason").agg(F.count("*").alias("n"))
+    """The cascade with a bound on edited characters, over targets of known ratio: the input between foreign signs."""
+    r = _reviewed(spark, d).where("input_text is not null and decision is not null").withColumn("input_text", F.col("id")).withColumn("n", F.expr(bucket("id", 5)).cast("int"))
+    t = F.when(F.col("n") == 4, F.expr("repeat('~', length(id))")).otherwise(F.concat(F.col("id"), F.expr("repeat('~', n)")))
+    r = r.withColumn("candidate_text", t).withColumn("corrected_text", t).withColumn("decision", F.lit("KEEP"))
+    p = curate.protected_hashes(read(spark, d, "gold").where("split in ('dev', 'test')"), "id")
+    return W.reasons(r, p, max_edit=0.1).select("id", "reason")
 
 
 def q_weak_pivot(spark, d):
@@ -180,27 +210,35 @@ def q_weak_band_pivot(spark, d):
 
 
 def q_prefix(spark, d):
-    """Accepted rows of the first half of ids, and the union with the rest: the former must be its prefix."""
+    """Accepted rows of the first half of ids against a union that was made anew, with some of their targets changed."""
     a = rank_within(_weak(spark, d, None).where("reason = 'accepted'").select("id", "input_text", "target_text"), [], ["id"], "pos").drop("pos_n")
-    n = a.count() // 2
-    prior, added = a.where(F.col("pos") <= n), a.where(F.col("pos") > n)
-    return W.prefix_equal(prior, prior.unionByName(added), ["id", "input_text", "target_text"])
+    prior = a.where(F.col("pos") <= a.count() // 2)
+    union = a.withColumn("target_text", F.when(F.expr(bucket("id", 10)) == 0, F.concat("target_text", F.lit("."))).otherwise(F.col("target_text")))
+    return W.prefix_equal(prior, union, ["id", "input_text", "target_text"])
 
 
 def q_diff(spark, d):
+    """Both texts put together again from the blocks of their diff, and whether there is any change."""
+    g = read(spark, d, "gold").select("id", D.text_diff("input_text", "target_text").alias("x"))
+    whole = lambda s: F.array_join(F.transform("x", lambda b: F.concat(b[f"{s}_space"], b[s])), "")
+    return g.select("id", whole("src").alias("input_text"), whole("tgt").alias("target_text"), F.exists("x", lambda b: b["group_id"].isNotNull()).alias("changed"))
+
+
+def q_diff_kinds(spark, d):
     g = read(spark, d, "gold").select("id", F.explode(D.text_diff("input_text", "target_text")).alias("x"))
     return g.groupBy("x.kind").agg(F.count("*").alias("n"))
 
 
 def q_lexical(spark, d):
-    return read(spark, d, "gold").select("id", F.explode(D.lexical_tokens("input_text")).alias("x")).groupBy("x.is_word").agg(F.count("*").alias("n"))
+    t = D.lexical_tokens(F.col("input_text"))
+    return read(spark, d, "gold").select("id", F.array_join(F.transform(t, lambda x: x["text"]), "\x01").alias("tokens"), F.size(F.filter(t, lambda x: x["is_word"])).cast("long").alias("n_words"))
 
 
 QUERIES = {
-    "token_levenshtein": q_levenshtein, "token_edits": q_edits, "char_edit_ratio": q_ratio, "multiset_intersect": q_multiset, "metrics_err": _error_metrics, "metrics_edit_prf": q_metrics, "model_ranking": q_ranking, "two_model_rule": q_two,
-    "error_categories": q_categories, "category_histogram": q_histogram, "pairwise_contingency": q_contingency, "model_deltas": q_deltas, "pairwise_winner": q_winner, "bootstrap_ci": q_bootstrap, "bootstrap_ci_deltas": q_bootstrap_deltas, "first_errors": q_first_errors,
+    "token_levenshtein": q_levenshtein, "token_edits": q_edits, "char_edit_ratio": q_ratio, "multiset_intersect": q_multiset, "metrics_err": _error_metrics, "metrics_edit_prf": q_metrics, "metrics_edit_gold": q_metrics_gold, "model_ranking": q_ranking, "two_model_rule": q_two,
+    "error_categories": q_categories, "category_histogram": q_histogram, "pairwise_contingency": q_contingency, "model_deltas": q_deltas, "pairwise_winner": q_winner, "bootstrap_ci": q_bootstrap, "bootstrap_ci_deltas": q_bootstrap_deltas, "first_errors": q_first_errors, "three_way_report": q_three_way,
     "early_stopping": q_stopping, "best_at_horizon": q_horizon, "loss_windows": q_windows, "factorial_effects": q_factorial, "weak_label_reasons": q_weak, "weak_label_drop_counts": q_weak_drops, "weak_label_edit_ratio": q_weak_edit,
-    "weak_label_pivots": q_weak_pivot, "weak_label_band_pivots": q_weak_band_pivot, "weak_union_prefix": q_prefix, "text_diff": q_diff, "lexical_tokens": q_lexical,
+    "weak_label_pivots": q_weak_pivot, "weak_label_band_pivots": q_weak_band_pivot, "weak_union_prefix": q_prefix, "text_diff": q_diff, "text_diff_kinds": q_diff_kinds, "lexical_tokens": q_lexical,
 }
 
 _TOK = lambda c: f"list_filter(regexp_split_to_array({c}, '{WS_SQL}+'), lambda x: x <> '')"
@@ -231,6 +269,17 @@ y AS (SELECT *, CASE WHEN decision IS NULL THEN 'missing_valid_review' WHEN deci
  CASE WHEN length(target) / greatest(1, length(input_text)) NOT BETWEEN 0.5 AND 2.0 THEN 'length_ratio' END AS late FROM x),
 z AS (SELECT *, min(CASE WHEN early IS NULL AND late IS NULL THEN id END) OVER (PARTITION BY input_text) AS first_ok FROM y),
 w AS (SELECT id, original_source, decision, coalesce(early, CASE WHEN first_ok < id THEN 'duplicate_input' END, late, 'accepted') AS reason FROM z)"""
+_weight_sql = "(" + " + ".join(f"(('0x' || substr(md5('{SEED}:' || rep || ':' || id), 1, 8))::BIGINT >= {int(p * 2**32)})::INT" for p in E.POISSON) + ")"
+_INTERVAL = "o AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY delta, rep) - 1 AS k, count(*) OVER (PARTITION BY metric) AS n FROM q), i AS (SELECT metric, count(*) AS replicates, round(avg(delta), 9) AS mean, round(max(CASE WHEN k = floor(0.025 * (n - 1)) THEN delta END), 9) AS low, round(max(CASE WHEN k = floor(0.975 * (n - 1)) THEN delta END), 9) AS high FROM o GROUP BY 1)"
+_f1_sql = lambda g, p, c: f"CASE WHEN {g} + {p} = 0 OR {c} = 0 THEN 0 ELSE 2 * ({c} / nullif({p}, 0)) * ({c} / nullif({g}, 0)) / ({c} / nullif({p}, 0) + {c} / nullif({g}, 0)) END"
+_NUMBERED = f"w AS (SELECT id, {_TOK('target_text')} AS w FROM gold), t AS (SELECT id, w[i + 1] || '#' || i AS t, i FROM (SELECT id, w, unnest(range(len(w))) AS i FROM w))"
+# of n numbered tokens: edits of the target, those of model_c that are right and wrong, whether model_b has them all
+_BUILT = f"k AS (SELECT id, (n + 5) // 6 AS n6, (n + 11) // 12 AS n12, (n + 2) // 6 AS n3, CASE WHEN {bucket_sql('id', 2)} = 0 THEN 1 ELSE 0 END AS b FROM (SELECT id, len({_TOK('target_text')}) AS n FROM gold) WHERE n > 0)"
+_BUILT_METRICS = f"""{_BUILT}, r AS (SELECT 'model_a' AS model, n6 AS g, 0 AS p, 0 AS c, n6 AS e FROM k UNION ALL SELECT 'model_b', n6, b * n6, b * n6, (1 - b) * n6 FROM k UNION ALL SELECT 'model_c', n6, n12 + n3, n12, n6 - n12 + n3 FROM k),
+ z AS (SELECT model, count(*) AS sample_count, sum(g)::BIGINT AS gold_edits, sum(p)::BIGINT AS predicted_edits, sum(c)::BIGINT AS correct_edits, sum(g)::BIGINT AS lai_token_errors, sum(e)::BIGINT AS system_token_errors, count_if(e = 0) AS x FROM r GROUP BY 1),
+ m AS (SELECT * EXCLUDE (x), CASE WHEN gold_edits = 0 THEN 0 ELSE (lai_token_errors - system_token_errors) / lai_token_errors END AS "ERR", CASE WHEN predicted_edits = 0 THEN 0 ELSE correct_edits / predicted_edits END AS precision, CASE WHEN gold_edits = 0 THEN 0 ELSE correct_edits / gold_edits END AS recall, {_f1_sql("gold_edits", "predicted_edits", "correct_edits")} AS f1, (x / sample_count)::DOUBLE AS exact_match FROM z)"""
+_LEX_SQL = r"[\t-\r\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_lex = lambda c: f"regexp_extract_all({c}, '[^{_LEX_SQL[1:-1]}\\p{{P}}]+|\\p{{P}}')"
 ORACLE = {
     "token_levenshtein": f"WITH {_LEV.replace('RECURSIVE lev', 'RECURSIVE toks AS (SELECT id AS k, ' + _TOK('input_text') + ' AS a, ' + _TOK('target_text') + ' AS b FROM gold), lev')} SELECT k AS id, distance::BIGINT AS distance FROM dist",
     "multiset_intersect": f"WITH x AS (SELECT id, {_TOK('input_text')} AS a, {_TOK('target_text')} AS b FROM gold), u AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(a) AS w FROM x) GROUP BY ALL), v AS (SELECT id, w, count(*) AS m FROM (SELECT id, unnest(b) AS w FROM x) GROUP BY ALL) SELECT id, coalesce(sum(least(n, m)), 0)::BIGINT AS common FROM gold LEFT JOIN (SELECT * FROM u JOIN v USING (id, w)) USING (id) GROUP BY 1",
@@ -240,10 +289,21 @@ ORACLE = {
     "pairwise_contingency": f"WITH {_PRED}, e AS (SELECT id, max(CASE WHEN model = 'model_c' THEN (p = t)::INT END) AS a, max(CASE WHEN model = 'model_b' THEN (p = t)::INT END) AS b FROM p GROUP BY 1) SELECT count_if(a = 1 AND b = 0)::BIGINT AS win, count_if(a = 0 AND b = 1)::BIGINT AS loss, count_if(a = 1 AND b = 1)::BIGINT AS both_right, count_if(a = 0 AND b = 0)::BIGINT AS both_wrong FROM e",
     "pairwise_winner": f"WITH {_PRED}, e AS (SELECT id, max(CASE WHEN model = 'model_c' THEN (p = t)::INT END) AS a, max(CASE WHEN model = 'model_b' THEN (p = t)::INT END) AS b FROM p GROUP BY 1) SELECT id, CASE WHEN a > b THEN 'model_c' WHEN a < b THEN 'model_b' ELSE 'tie' END AS winner FROM e",
     "model_deltas": f"WITH {_STATS}, v AS (SELECT max(CASE WHEN model = 'model_a' THEN \"ERR\" END) AS ea, max(CASE WHEN model = 'model_b' THEN \"ERR\" END) AS eb, max(CASE WHEN model = 'model_c' THEN \"ERR\" END) AS ec, max(CASE WHEN model = 'model_a' THEN exact_match END) AS xa, max(CASE WHEN model = 'model_b' THEN exact_match END) AS xb, max(CASE WHEN model = 'model_c' THEN exact_match END) AS xc FROM mm) SELECT round(ec - ea, 9) AS \"ERR_c_minus_a\", round(ec - eb, 9) AS \"ERR_c_minus_b\", round(xc - xa, 9) AS exact_match_c_minus_a, round(xc - xb, 9) AS exact_match_c_minus_b FROM v",
-    "bootstrap_ci": f"""WITH {_STATS}, x AS (SELECT id, max(lai) AS lai, max(CASE WHEN model = 'model_c' THEN sys END) AS ea, max(CASE WHEN model = 'model_b' THEN sys END) AS eb, row_number() OVER (ORDER BY id) - 1 AS rn FROM st WHERE model IN ('model_b', 'model_c') GROUP BY id),
- nn AS (SELECT count(*) AS n FROM x), d AS (SELECT rep, ('0x' || substr(md5('{SEED}:' || rep || ':' || slot), 1, 12))::BIGINT % n AS rn FROM nn, range({REPLICATES}) a(rep), (SELECT unnest(range(n)) AS slot FROM nn)),
- s AS (SELECT rep, sum(lai)::DOUBLE AS lai, sum(ea)::DOUBLE AS ea, sum(eb)::DOUBLE AS eb FROM d JOIN x USING (rn) GROUP BY 1), q AS (SELECT rep, CASE WHEN lai = 0 THEN 0 ELSE (lai - ea) / lai - (lai - eb) / lai END AS delta FROM s), o AS (SELECT delta, row_number() OVER (ORDER BY delta, rep) - 1 AS k FROM q)
- SELECT count(*) AS replicates, round(avg(delta), 9) AS mean, round(max(CASE WHEN k = {int(0.025 * (REPLICATES - 1))} THEN delta END), 9) AS low, round(max(CASE WHEN k = {int(0.975 * (REPLICATES - 1))} THEN delta END), 9) AS high FROM o""",
+    "bootstrap_ci": f"""WITH {_STATS}, x AS (SELECT id, max(lai) AS lai, max(CASE WHEN model = 'model_c' THEN sys END) AS ea, max(CASE WHEN model = 'model_b' THEN sys END) AS eb FROM st WHERE model IN ('model_b', 'model_c') GROUP BY id),
+ d AS (SELECT rep, x.*, {_weight_sql} AS w FROM x, range({REPLICATES}) a(rep)),
+ s AS (SELECT rep, sum(w * lai)::DOUBLE AS lai, sum(w * ea)::DOUBLE AS ea, sum(w * eb)::DOUBLE AS eb FROM d GROUP BY 1), q AS (SELECT 'ERR' AS metric, rep, CASE WHEN lai = 0 THEN 0 ELSE (lai - ea) / lai - (lai - eb) / lai END AS delta FROM s), {_INTERVAL}
+ SELECT replicates, mean, low, high FROM i""",
+    "bootstrap_ci_deltas": f"""WITH {_BUILT}, d AS (SELECT rep, n6, n12, n3, b, {_weight_sql} AS w FROM k, range({RESAMPLES}) a(rep)),
+ s AS (SELECT rep, sum(w * n6)::DOUBLE AS g, sum(w * (n12 + n3))::DOUBLE AS pc, sum(w * n12)::DOUBLE AS cc, sum(w * b * n6)::DOUBLE AS pb, sum(w * (n6 - n12 + n3))::DOUBLE AS ec, sum(w * (1 - b) * n6)::DOUBLE AS eb FROM d GROUP BY 1),
+ q AS (SELECT 'f1' AS metric, rep, {_f1_sql("g", "pc", "cc")} - {_f1_sql("g", "pb", "pb")} AS delta FROM s UNION ALL SELECT 'ERR', rep, CASE WHEN g = 0 THEN 0 ELSE (g - ec) / g - (g - eb) / g END FROM s), {_INTERVAL}
+ SELECT * FROM i""",
+    "token_edits": f"WITH {_NUMBERED} SELECT id, t AS src, t || CASE WHEN i % 12 = 0 THEN '!' ELSE '?' END AS tgt FROM t WHERE i % 12 = 0 OR i % 6 = 3",
+    "char_edit_ratio": f"SELECT id, round(1 - 2.0 * length(id) / (2 * length(id) + 2 + {bucket_sql('id', 7)}), 9)::DOUBLE AS edit_ratio FROM gold",
+    "metrics_edit_prf": f"WITH {_BUILT_METRICS} SELECT * FROM m",
+    "model_ranking": f"WITH {_BUILT_METRICS} SELECT model, row_number() OVER (ORDER BY \"ERR\" DESC, f1 DESC, exact_match DESC, model = 'model_a' DESC) AS rank, round(\"ERR\", 9) AS \"ERR\", round(f1, 9) AS f1 FROM m",
+    "two_model_rule": f"WITH {_BUILT_METRICS}, v AS (SELECT max(CASE WHEN model = 'model_a' THEN f1 END) AS fa, max(CASE WHEN model = 'model_b' THEN f1 END) AS fb, max(CASE WHEN model = 'model_a' THEN \"ERR\" END) AS ea, max(CASE WHEN model = 'model_b' THEN \"ERR\" END) AS eb FROM m) SELECT CASE WHEN fa > fb THEN 'model_a' WHEN fb > fa THEN 'model_b' WHEN ea > eb THEN 'model_a' WHEN eb > ea THEN 'model_b' ELSE 'model_a' END AS winner, CASE WHEN fa <> fb THEN 'higher_f1' WHEN ea <> eb THEN 'higher_ERR' ELSE 'model_a' END AS criterion FROM v",
+    "three_way_report": f"""WITH {_PRED}, {_CAT}, v AS (SELECT p.id, any_value(t) AS t, {", ".join(f"max(CASE WHEN p.model = '{m}' THEN p END) AS {m}_prediction, max(CASE WHEN p.model = '{m}' THEN category END) AS {m}_category" for m in ("model_a", "model_b", "model_c"))} FROM p JOIN c ON c.id = p.id AND c.model = p.model GROUP BY p.id)
+ SELECT * EXCLUDE (t), {", ".join(f"CASE WHEN (model_c_prediction = t)::INT > ({m}_prediction = t)::INT THEN 'model_c' WHEN (model_c_prediction = t)::INT < ({m}_prediction = t)::INT THEN '{m}' ELSE 'tie' END AS model_c_vs_{m[-1]}" for m in ("model_a", "model_b"))} FROM v""",
     "first_errors": f"WITH {_PRED}, {_CAT} SELECT model, id, category, row_number() OVER (PARTITION BY model ORDER BY id) AS place FROM c WHERE category <> 'correct' QUALIFY place <= 20",
     "best_at_horizon": f"WITH {_LOSS} SELECT user_id, epoch, value AS loss FROM l WHERE epoch <= 4 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, epoch) = 1",
     "loss_windows": f"WITH {_LOSS} SELECT user_id, round(avg(value), 9) AS mean_all, round(avg(CASE WHEN epoch <= greatest(1, epochs // 4) THEN value END), 9) AS mean_first, round(avg(CASE WHEN epoch > epochs - greatest(1, epochs // 4) THEN value END), 9) AS mean_last FROM l GROUP BY 1",
@@ -258,5 +318,9 @@ ORACLE = {
     "weak_label_drop_counts": f"WITH {_WEAK} SELECT reason, count(*) AS n FROM w GROUP BY 1",
     "weak_label_pivots": f"WITH {_WEAK} SELECT original_source, count_if(decision = 'KEEP')::BIGINT AS keep, count_if(decision = 'EDIT')::BIGINT AS edit, count_if(decision = 'REJECT')::BIGINT AS reject, count_if(reason = 'accepted')::BIGINT AS accepted FROM w WHERE decision IS NOT NULL GROUP BY 1",
     "weak_label_band_pivots": f"WITH {_WEAK}, bands AS (WITH {_BANDS_SQL} SELECT id, original_source, max(band) AS band FROM b GROUP BY 1, 2) SELECT coalesce(band, -1)::BIGINT AS band, count_if(decision = 'KEEP')::BIGINT AS keep, count_if(decision = 'EDIT')::BIGINT AS edit, count_if(decision = 'REJECT')::BIGINT AS reject, count_if(reason = 'accepted')::BIGINT AS accepted FROM w LEFT JOIN bands USING (id, original_source) WHERE decision IS NOT NULL GROUP BY 1",
-    "weak_union_prefix": f"WITH {_WEAK} SELECT count(*) // 2 AS n_prior, count(*) // 2 AS n_same FROM w WHERE reason = 'accepted'",
+    "weak_label_edit_ratio": f"""WITH {_WEAK}, z2 AS (SELECT DISTINCT id, {bucket_sql("id", 5)} AS n FROM w WHERE decision IS NOT NULL AND id IN (SELECT id FROM c WHERE input_text IS NOT NULL))
+ SELECT id, CASE WHEN n = 4 THEN 'edit_ratio' WHEN 1 - 2.0 * length(id) / (2 * length(id) + n) > 0.1 THEN 'edit_ratio' ELSE 'accepted' END AS reason FROM z2""",
+    "weak_union_prefix": f"WITH {_WEAK}, a AS (SELECT id, row_number() OVER (ORDER BY id) AS pos, count(*) OVER () AS n FROM w WHERE reason = 'accepted') SELECT count(*) AS n_prior, count_if({bucket_sql('id', 10)} <> 0)::BIGINT AS n_same FROM a WHERE pos <= n // 2",
+    "text_diff": f"SELECT id, input_text, target_text, input_text <> target_text AND ({_lex('input_text')} <> {_lex('target_text')}) AS changed FROM gold WHERE input_text IS NOT NULL AND target_text IS NOT NULL",
+    "lexical_tokens": f"SELECT id, array_to_string({_lex('input_text')}, chr(1)) AS tokens, len(list_filter({_lex('input_text')}, lambda x: NOT regexp_matches(x, '^\\p{{P}}$'))) AS n_words FROM gold",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators import policy as P
-from .common import read
+from .common import bucket, bucket_sql, read
 
 POLICY = P.Policy()
 
@@ -37,16 +37,29 @@ def q_outcomes(spark, d):
 
 
 def q_reconcile(spark, d):
-    return L.reconciled(_attempts(spark, d), _results(spark, d))
+    """The ledger as it stood after each batch's first attempt: which failures later results or exclusions settle."""
+    out = read(spark, d, "candidates").select(F.col("id").alias("sample_id")).where(f"{bucket('sample_id', 7)} = 0")
+    return L.reconciled(_attempts(spark, d).where("attempt_number = 1"), _results(spark, d), out)
+
+
+def _recovery(spark, d):
+    """For each attempt that failed, attempts of its samples one by one, every second of them blocked before an answer."""
+    x = L.samples(_attempts(spark, d).where("status = 'failed'"))
+    n = F.expr(bucket("concat(attempt_id, sample_id)", 4))
+    meta = F.when(n < 2, F.lit('{"candidate_count": 0, "prompt_block_reason": "PROHIBITED_CONTENT"}')).otherwise(F.lit('{"finish_reason": "STOP"}'))
+    return x.withColumn("sample_ids_json", F.when(n == 1, F.to_json(F.array("sample_id", "sample_id"))).otherwise(F.to_json(F.array("sample_id")))).withColumn("error_code", F.when(n < 2, "prompt_blocked").otherwise("timeout")).withColumn("response_metadata_json", meta).drop("sample_id")
 
 
 def q_blocked(spark, d):
-    return L.blocked_singletons(_attempts(spark, d)).groupBy(*L.NAMESPACE).agg(F.count("*").alias("n"))
+    return L.blocked_singletons(_recovery(spark, d))
 
 
 def q_pending(spark, d):
-    done = _results(spark, d).select(F.col("sample_id").alias("id")).distinct()
-    return L.pending(read(spark, d, "candidates"), done, "id")
+    """Batches still to be reviewed in each namespace of the ledger, apart from excluded samples."""
+    out = read(spark, d, "candidates").select(F.col("id").alias("sample_id")).where(f"{bucket('sample_id', 7)} = 0")
+    spaces = [tuple(r) for r in _attempts(spark, d).select(*L.NAMESPACE).distinct().collect()]  # prompts by models
+    x = L.pending(read(spark, d, "candidates"), _results(spark, d), "id", sorted(spaces), excluded=out)
+    return x.select(*L.NAMESPACE, "batch_no", "batch_id", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"))
 
 
 def q_decisions(spark, d):
@@ -67,9 +80,24 @@ def q_gate(spark, d):
     return _attempts(spark, d).select("attempt_id", L.response_gate(F.col("response_metadata_json"), F.coalesce("raw_response", F.lit("kept elsewhere"))).alias("gate"))
 
 
+def _answers(spark, d):
+    """An answer to each attempt, sound or spoilt in one of six ways that its number tells."""
+    x = _attempts(spark, d).withColumn("ids", F.from_json("sample_ids_json", "array<string>"))
+    k = F.col("attempt_id") % 7
+    one = lambda i: F.concat(F.lit('{"id":"'), i, F.lit('","decision":"KEEP","corrected_text":"null","reason_code":null}'))
+    edit = lambda i: F.concat(F.lit('{"id":"'), i, F.lit('","decision":"EDIT","corrected_text":null,"reason_code":null}'))
+    listed = lambda a: F.concat(F.lit('{"results":['), F.array_join(a, ","), F.lit("]}"))
+    sound = listed(F.transform("ids", one))
+    text = (
+        F.when(k == 1, F.concat(F.lit("```json\n"), sound, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here it is: "), sound)).when(k == 3, listed(F.transform(F.slice("ids", F.lit(2), F.size("ids")), one)))
+        .when(k == 4, listed(F.transform("ids", edit))).when(k == 5, F.lit("no answer")).when(k == 6, listed(F.transform(F.concat("ids", F.slice("ids", 1, 1)), one))).otherwise(sound)
+    )
+    return x.select("attempt_id", "sample_ids_json", text.alias("raw"))
+
+
 def q_parse(spark, d):
-    x = L.parsed(_attempts(spark, d).where("raw_response is not null"), "raw_response", "sample_ids_json")
-    return x.groupBy(F.coalesce("parse_error", F.lit("none")).alias("parse_error")).agg(F.count("*").alias("n"))
+    x = L.parsed(_answers(spark, d), "raw", "sample_ids_json")
+    return x.select("attempt_id", F.coalesce("parse_error", F.lit("none")).alias("parse_error"), F.when(F.col("results").isNotNull(), F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["id"], r["decision"], F.coalesce(r["corrected_text"], F.lit("-")))), ",")).alias("results"))
 
 
 def q_canonical(spark, d):
@@ -112,16 +140,30 @@ for _k, _v in POLICY.ordered():
     for _ in (1, 2):
         _canon = rf"regexp_replace({_canon}, '(?i)(^|[^\p{{L}}\p{{N}}_]){P.sql_pattern(_k)}($|[^\p{{L}}\p{{N}}_])', '\1{_v}\2', 'g')"
 _MARKS = r"[^\p{L}\p{N}_\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}.,;:!?()\[\]{}''\"/@&*+=%#-]"
+# runs of five and more equal signs, found by numbering the signs of a kind
+_lost_sql = lambda i, t, pat: f"len(list_filter(regexp_extract_all({i}, '{pat}'), lambda x: NOT contains({t}, x))) > 0"
+_NUM = r"\p{Nd}+(?:[.,]\p{Nd}+)?"
+_stretch = lambda rel, t: f"""SELECT key, bool_or(n >= {POLICY.stretched_min} AND NOT contains({t}, repeat(c, n))) AS lost FROM (SELECT key, {t}, c, g, count(*)::INT AS n FROM (SELECT key, {t}, c, k - row_number() OVER (PARTITION BY key, c ORDER BY k) AS g FROM (SELECT key, {t}, k, substr(i, k, 1) AS c FROM (SELECT key, i, {t}, unnest(range(1, length(i) + 1)) AS k FROM {rel})) WHERE c NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233))) GROUP BY ALL) GROUP BY key"""
 ORACLE = {
+    "policy_stretch": f"WITH r AS (SELECT id AS key, input_text AS i, target_text AS t FROM gold) SELECT gold.id, coalesce(lost, false) AS stretch_lost FROM gold LEFT JOIN ({_stretch('r', 't')}) s ON s.key = gold.id",
+    "policy_decisions": f"""WITH l AS (SELECT * FROM {_LATEST}), c AS (SELECT id AS sample_id, input_text, candidate_text FROM candidates QUALIFY row_number() OVER (PARTITION BY id ORDER BY candidate_text DESC NULLS LAST, input_text DESC NULLS LAST) = 1),
+ x AS (SELECT {_K}, decision AS before, corrected_text, reason_code, input_text AS i, CASE WHEN decision = 'KEEP' THEN candidate_text ELSE corrected_text END AS f FROM l JOIN c USING (sample_id)),
+ y AS (SELECT *, struct_pack({_K}) AS key, {_canon.replace("input_text", "f")} AS t FROM x), s AS ({_stretch('y', 't')}), o AS (SELECT key, regexp_extract_all(i, '[A-Za-zÀ-ỹ]+') AS a FROM y),
+ z AS (SELECT y.*, contains(lower(i), 'mưa rồi') AS amb, len(a) = 1 AND length(a[1]) >= 16 AND NOT regexp_matches(a[1], '(?i)[{P.VOWELS}]') AS opq, {_lost_sql("i", "t", _MARKS)} OR coalesce(lost, false) OR {_lost_sql("i", "t", _NUM)} AS bad FROM y LEFT JOIN s USING (key) LEFT JOIN o USING (key))
+ SELECT {_K}, before, CASE WHEN amb OR opq THEN 'REJECT' WHEN before = 'REJECT' THEN before WHEN bad THEN 'REJECT' WHEN before = 'KEEP' AND t <> f THEN 'EDIT' ELSE before END AS decision,
+ CASE WHEN amb OR opq THEN NULL WHEN before = 'REJECT' THEN corrected_text WHEN bad THEN NULL WHEN before = 'KEEP' AND t <> f THEN t WHEN before = 'EDIT' THEN t ELSE corrected_text END AS corrected_text,
+ CASE WHEN amb THEN 'AMBIGUOUS' WHEN opq THEN 'NOT_LEXICAL_NORMALIZATION' WHEN before = 'REJECT' THEN reason_code WHEN bad THEN 'OTHER' WHEN before = 'KEEP' AND t <> f THEN NULL ELSE reason_code END AS reason_code FROM z""",
     "ledger_latest": f"SELECT {_K}, decision, corrected_text, reason_code, batch_id FROM {_LATEST}",
     "ledger_batch_state": f"SELECT * FROM {_STATE}",
     "ledger_outcomes": f"SELECT {_N}, status, coalesce(error_code, 'success') AS code, count(*) AS n FROM review_attempts GROUP BY ALL",
-    "ledger_reconcile": f"""WITH f AS (SELECT batch_id, {_N} FROM {_STATE} WHERE status = 'failed'), s AS (SELECT DISTINCT batch_id, {_N}, unnest(from_json(sample_ids_json, '["VARCHAR"]')) AS sample_id FROM review_attempts SEMI JOIN f USING (batch_id, {_N})),
- d AS (SELECT DISTINCT {_K}, 1 AS done FROM review_results)
- SELECT batch_id, {_N}, count(*) AS n_samples, count(done) AS n_resolved, CASE WHEN count(*) = count(done) THEN 'superseded' ELSE 'failed' END AS status FROM s LEFT JOIN d USING ({_K}) GROUP BY batch_id, {_N}""",
-    "blocked_singletons": f"SELECT {_N}, count(*) AS n FROM review_attempts WHERE error_code = 'provider_blocked' AND json_array_length(sample_ids_json) = 1 GROUP BY ALL",
-    "pending_batches": """WITH p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM (SELECT DISTINCT id FROM candidates WHERE id NOT IN (SELECT sample_id FROM review_results)))
- SELECT (r // 15)::BIGINT AS batch_no, substr(sha256('["' || string_agg(id, '","' ORDER BY id) || '"]'), 1, 24) AS batch_id, count(*) AS n, min(id) AS first_id FROM p GROUP BY 1""",
+    "ledger_reconcile": f"""WITH a AS (SELECT * FROM review_attempts WHERE attempt_number = 1), f AS (SELECT batch_id, {_N} FROM a QUALIFY row_number() OVER (PARTITION BY batch_id, {_N} ORDER BY attempt_number DESC, attempt_id DESC) = 1 AND status = 'failed'), s AS (SELECT DISTINCT batch_id, {_N}, unnest(from_json(sample_ids_json, '["VARCHAR"]')) AS sample_id FROM a SEMI JOIN f USING (batch_id, {_N})),
+ d AS (SELECT DISTINCT {_K}, 1 AS done FROM review_results), o AS (SELECT DISTINCT id AS sample_id FROM candidates WHERE {bucket_sql("id", 7)} = 0)
+ SELECT batch_id, {_N}, count(*) AS n_samples, count(coalesce(done, CASE WHEN sample_id IN (SELECT sample_id FROM o) THEN 1 END)) AS n_resolved, CASE WHEN n_samples = n_resolved THEN 'superseded' ELSE 'failed' END AS status FROM s LEFT JOIN d USING ({_K}) GROUP BY batch_id, {_N}""",
+    "blocked_singletons": f"""SELECT attempt_id, sample_id, {_N}, '{{"candidate_count": 0, "prompt_block_reason": "PROHIBITED_CONTENT"}}' AS response_metadata_json FROM (SELECT *, unnest(from_json(sample_ids_json, '["VARCHAR"]')) AS sample_id FROM review_attempts WHERE status = 'failed') WHERE {bucket_sql("(attempt_id || sample_id)", 4)} = 0""",
+    "pending_batches": f"""WITH n AS (SELECT DISTINCT {_N} FROM review_attempts), i AS (SELECT DISTINCT id AS sample_id FROM candidates WHERE id IS NOT NULL AND {bucket_sql("id", 7)} <> 0),
+ p AS (SELECT {_N}, sample_id, row_number() OVER (PARTITION BY {_N} ORDER BY sample_id) - 1 AS r FROM (SELECT * FROM n, i) ANTI JOIN review_results USING ({_K}))
+ SELECT {_N}, (r // 15)::BIGINT AS batch_no, substr(sha256('{{"ids":["' || string_agg(sample_id, '","' ORDER BY sample_id) || '"],"prompt_hash":"' || prompt_hash || '"}}'), 1, 24) AS batch_id, count(*) AS n, min(sample_id) AS first_id FROM p GROUP BY {_N}, r // 15""",
+    "response_parse": """WITH x AS (SELECT attempt_id, from_json(sample_ids_json, '["VARCHAR"]') AS ids FROM review_attempts) SELECT attempt_id, CASE attempt_id % 7 WHEN 3 THEN 'id_mismatch' WHEN 4 THEN 'schema' WHEN 5 THEN 'not_json' WHEN 6 THEN 'id_mismatch' ELSE 'none' END AS parse_error, CASE WHEN attempt_id % 7 < 3 THEN array_to_string(list_transform(ids, lambda i: i || ':KEEP:-'), ',') END AS results FROM x""",
     "decision_rates": f"SELECT {_N}, count(*) AS n_reviews, count_if(decision = 'KEEP')::BIGINT AS n_keep, count_if(decision = 'EDIT')::BIGINT AS n_edit, count_if(decision = 'REJECT')::BIGINT AS n_reject, round(count_if(decision = 'KEEP') / count(*), 9) AS keep_rate, round(count_if(decision = 'EDIT') / count(*), 9) AS edit_rate, round(count_if(decision = 'REJECT') / count(*), 9) AS reject_rate FROM {_LATEST} GROUP BY {_N}",
     "reject_reasons": f"SELECT reason_code, count(*) AS n FROM {_LATEST} WHERE decision = 'REJECT' GROUP BY 1",
     "error_classes": f"SELECT attempt_id, {_CASE_CLASS} AS error_class, {_CASE_SAFE} AS safe_detail FROM (SELECT attempt_id, lower(coalesce(error_detail, '')) AS m FROM review_attempts WHERE status <> 'succeeded')",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..sources.io import chunk_state
 from .common import SOURCES, case_sql, in_sql, read
 
 BANDS, SEED, PILOT = 3, 2026, 5
@@ -96,8 +97,9 @@ def q_sample(spark, d):
 def q_resume(spark, d):
     """Chunks by corpus order that lack candidates, hence must be generated anew."""
     c = R.rank_within(read(spark, d, "corpus").select("id"), [], ["id"]).withColumn("chunk", F.floor((F.col("rank") - 1) / 1000))
-    done = read(spark, d, "candidates").where("generation_status = 'generated_text'").select("id").distinct().withColumn("done", F.lit(True))
-    return c.join(done, "id", "left").groupBy("chunk").agg(F.count("*").alias("expected"), F.count("done").alias("valid")).withColumn("reusable", F.col("expected") == F.col("valid"))
+    done = read(spark, d, "candidates").where("generation_status = 'generated_text'").select("id").distinct()
+    made = c.join(done, "id").select("chunk", F.lit(True).alias("valid"))
+    return chunk_state(made, c.groupBy("chunk").agg(F.count("*").alias("expected")))
 
 
 QUERIES = {

@@ -72,6 +72,35 @@ def publish(df: DataFrame, root: str, version: str) -> str:
     return path
 
 
+def read_published(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The newest version (by name) that was written whole, or the one named."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    whole = sorted(n for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))
+    want = f"version={version}" if version else whole[-1] if whole else None
+    if want not in whole:
+        raise FileNotFoundError(f"no published version {version or ''} in {root}")
+    return spark.read.parquet(f"{root}/{want}")
+
+
+def write_report(df: DataFrame, path: str, title: str) -> None:
+    """A small table of results as ``<path>.json`` and as a Markdown table in ``<path>.md``."""
+    rows = [r.asDict() for r in df.collect()]  # a report: aggregated rows
+    p = Path(path)
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.with_suffix(".json").write_text(json.dumps(rows, ensure_ascii=False, indent=2, default=str) + "\n", encoding="utf-8")
+    show = lambda v: "" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(show(r[c]) for c in df.columns) + " |" for r in rows)]
+    p.with_suffix(".md").write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+
+def first_rows(df: DataFrame, order: str, n: int | None) -> DataFrame:
+    """The first ``n`` rows by ``order``, for trial runs; all of them without ``n``."""
+    return df if n is None else df.orderBy(order).limit(n)
+
+
 def write_csv_sheet(df: DataFrame, path: str, blank: list[str]) -> None:
     """A worksheet with empty columns to fill in by hand; small by nature, so one file."""
     df.select("*", *[F.lit("").alias(c) for c in blank]).coalesce(1).write.csv(path, header=True, mode="overwrite")
@@ -84,7 +113,16 @@ def load_json_object(path: str) -> dict:
     return doc
 
 
+def chunk_state(done: DataFrame, expected: DataFrame, key: str = "chunk") -> DataFrame:
+    """(key, expected, valid, reusable): a chunk is reusable if it has exactly the expected number of rows, all valid.
+
+    ``done`` has the key and ``valid``, a row each; ``expected`` the key and the number of rows.
+    """
+    have = done.groupBy(key).agg(F.count_if(F.col("valid")).alias("valid"), F.count("*").alias("_all"))
+    x = expected.join(have, key, "left").withColumn("valid", F.coalesce("valid", F.lit(0)))
+    return x.select(key, "expected", "valid", ((F.col("valid") == F.col("expected")) & (F.col("_all") == F.col("expected"))).alias("reusable")).fillna(False, ["reusable"])
+
+
 def resume_chunks(done: DataFrame, expected: DataFrame, key: str = "chunk") -> DataFrame:
-    """Chunks still to be made: those without exactly the expected number of valid rows."""
-    have = done.groupBy(key).agg(F.count_if(F.col("valid")).alias("have"), F.count("*").alias("all"))
-    return expected.join(have, key, "left").where("have is null or have <> expected or all <> expected").select(key, "expected")
+    """Chunks still to be made."""
+    return chunk_state(done, expected, key).where("not reusable").select(key, "expected")
