@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import FOLD_FROM, FOLD_TO
+from ..session import shared_dir
 
 U = np.uint64
 MULT = U(0x9E3779B97F4A7C15)
@@ -210,6 +213,44 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Texts longer than this are no training rows (they are judged all the same), so that a sample has a bounded size.
+SAMPLE_CHARS = 4_000
+
+
+def sampled(df: DataFrame, columns: list[str], rows: int) -> list[tuple]:
+    """At most ``rows`` rows of text ``columns`` in the order of their hash: the same ones however the table is laid out.
+
+    A bound on the hash, from the number of rows, thins every task's share before the top-n; should it let too few
+    through, all rows take part.
+    """
+    x = df.select(*columns, F.xxhash64(*columns).alias("_h"))
+    for c in columns:
+        x = x.where(F.length(c) <= SAMPLE_CHARS)
+    take = lambda d: [tuple(r)[:-1] for r in d.orderBy("_h", *columns).limit(rows).collect()]
+    total = x.count()
+    if total > 4 * rows + 1000:
+        got = take(x.where(F.col("_h") < int((2 * rows + 200) / total * 2**64) - 2**63))
+        if len(got) == rows:
+            return got
+    return take(x)
+
+
+_models: dict[str, bytes] = {}
+
+
+def stored(spark: SparkSession, name: str, key: object, make) -> bytes:
+    """What ``make`` gives for ``key``, made once: kept in the shared folder under the key's hash and read from there."""
+    digest = hashlib.sha256(repr(key).encode("utf-8", "surrogatepass")).hexdigest()[:40]
+    if digest not in _models:
+        path = f"{shared_dir(spark)}/vietloom-model-{name}-{digest}"
+        try:
+            _models[digest] = bytes(spark.read.schema("m binary").parquet(path).first()[0])
+        except (AnalysisException, TypeError):  # there is none, or none that was written whole
+            _models[digest] = make()
+            spark.createDataFrame([(bytearray(_models[digest]),)], "m binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return _models[digest]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least a task a core where a small table lies in fewer files than that; else as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

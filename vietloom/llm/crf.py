@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import zlib
 
 import numpy as np
@@ -24,6 +25,18 @@ class TokenCrf:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}, "table": np.zeros((0, len(self.offsets), self.s), np.float32)}
 
+    def dump(self) -> bytes:
+        """The weights as an archive of arrays."""
+        out = io.BytesIO()
+        np.savez_compressed(out, w=self.w, t=self.t, start=self.start)
+        return out.getvalue()
+
+    def load(self, archive: bytes) -> TokenCrf:
+        with np.load(io.BytesIO(archive), allow_pickle=False) as z:
+            self.w, self.t, self.start = z["w"], z["t"], z["start"]
+        self.cache, self.table = {}, self.table[:0]
+        return self
+
     def ids(self, token: str) -> list[int]:
         return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (self.dim - 1) for f in self.features(token)]
 

@@ -1,10 +1,12 @@
 """Problem 3: defective answers to texts that were to be normalised.
 
 An answer is cut into clauses; a linear-chain conditional random field tags each as answer, refusal, echo, foreign or
-unfinished from how much of it stands in the input, whether its words are Vietnamese syllables, how much of the input
-is left without counterpart behind it, and its words where they are not the input's. The share of words under each tag
-decides the pair's defect. The field is trained on each use from a small labelled table: at most ``SAMPLE`` sound pairs
-of the data, their cut and echoed forms, and refusals and foreign sentences written here.
+unfinished from how much of it stands in the input, whether its words are Vietnamese syllables, whether it shows a cue
+of refusing, whether the answer has the input's words in their order, how much of the input is left without counterpart
+behind it, and its words where they are not the input's. These are features only: the share of words under each tag
+decides the pair's defect, and an answer without any words to tag is empty. The field is trained from a small labelled
+table: at most ``SAMPLE`` sound pairs of the data, their cut and echoed forms, and refusals and foreign sentences
+written here; a training row has its first 40 clauses, answers to be judged have all of theirs.
 
 Cases: a null, blank or stand-in answer is empty, whatever the input; a null input gives only empty, refusal and other
 language; repeated rows are one; a status column takes no part.
@@ -20,12 +22,12 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from .common import sampled, stored
 from .crf import TokenCrf
 
-SAMPLE = 600
+SAMPLE, EPOCHS = 600, 160
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 WORD = re.compile(r"[^\W_]+")
 CLAUSE = re.compile(r"[^.!?,;:\n…。，！？、]+")
@@ -67,20 +69,34 @@ def _bin(x: float) -> int:
     return 0 if x < 0.1 else 1 if x < 0.3 else 2 if x < 0.55 else 3 if x < 0.8 else 4 if x < 1 else 5
 
 
+def _echoes(a: list[str], b: list[str], answer: str) -> bool:
+    """Whether the answer has the input's words and no other, but for a label of up to four words and a colon in front."""
+    extra = len(b) - len(a)
+    if not a or not 0 <= extra <= 4 or b[extra:] != a:
+        return False
+    if not extra:
+        return True
+    label = [m.end() for _, m in zip(range(extra), WORD.finditer(answer), strict=False)][-1]
+    return answer[label:].lstrip().startswith(":")
+
+
 def clauses(source: str | None, answer: str) -> tuple[list[str], list[int]]:
     """(signature of each clause, words in it)."""
     a = words(source)
     fa, exact = {fold(w) for w in a}, set(a)
-    rows = [w for m in CLAUSE.finditer(unicodedata.normalize("NFC", answer).lower()) if (w := WORD.findall(m.group()))]
+    answer = unicodedata.normalize("NFC", answer).lower()
+    rows = [w for m in CLAUSE.finditer(answer) if (w := WORD.findall(m.group()))]
     b = [w for r in rows for w in r]
-    equal = bool(a) and (a == b or len(a) < len(b) <= len(a) + 4 and b[-len(a) :] == a and ":" in answer[:40])
-    rest = 0.0 if equal else left_over([fold(w) for w in a], [fold(w) for w in b]) if a and len(b) <= 0.85 * len(a) else 0.0
+    equal = _echoes(a, b, answer)
+    folded = [[fold(w) for w in r] for r in rows]
+    rest = 0.0 if equal else left_over([fold(w) for w in a], [w for f in folded for w in f]) if a and len(b) <= 0.85 * len(a) else 0.0
+    cues = [_CUE.search(" ".join(f) + " ") is not None for f in folded]
+    any_cue = _CUE.search(" ".join(w for f in folded for w in f) + " ") is not None
     sig, n = [], []
-    for k, r in enumerate(rows):
-        f = [fold(w) for w in r]
+    for k, (r, f) in enumerate(zip(rows, folded, strict=True)):
         m = sum(w in fa for w in f) / len(f)
         v = sum(_SYLLABLE.fullmatch(w) is not None for w in f) / len(f)
-        parts = [f"m{_bin(m)}", f"e{_bin(sum(w in exact for w in r) / len(r))}", f"v{_bin(v)}", f"q{int(equal)}", f"n{min(len(r), 6)}", f"mv{_bin(m)}{_bin(v)}"]
+        parts = [f"m{_bin(m)}", f"e{_bin(sum(w in exact for w in r) / len(r))}", f"v{_bin(v)}", f"q{int(equal)}", f"n{min(len(r), 6)}", f"mv{_bin(m)}{_bin(v)}", f"k{int(cues[k])}{int(any_cue)}", f"mk{_bin(m)}{int(cues[k])}{int(any_cue)}"]
         if k == len(rows) - 1:
             parts.append(f"u{0 if rest < 0.1 else 1 if rest < 0.2 else 2 if rest < 0.25 else 3}")
         if m < 0.55:
@@ -155,6 +171,11 @@ def labelled(sound: list[tuple[str, str]], rows: int = 1500, seed: int = 11) ->
             w = b.split(" ")
             b = " ".join(w[: max(3, int(len(w) * r.uniform(0.25, 0.7)))])
             b = b[: r.randint(max(1, len(b) - 3), len(b))] + r.choice(["", "…", " ...", ""])
+        elif kind == 5:  # an input in which a single word is left to normalise is answered, not echoed
+            w = b.split(" ")
+            j = r.randrange(len(w))
+            w[j] = fold(w[j].lower()) if fold(w[j].lower()) != w[j].lower() else w[j] + "z"
+            a = " ".join(w)
         sig, _ = clauses(a, b)
         if not sig:
             continue
@@ -166,8 +187,12 @@ def labelled(sound: list[tuple[str, str]], rows: int = 1500, seed: int = 11) ->
     return xs, ys
 
 
-def train(sound: list[tuple[str, str]]) -> TokenCrf:
-    return TokenCrf(5, features, offsets=(-1, 0, 1), bits=13).fit(*labelled(sound), epochs=40)
+def train(sound: list[tuple[str, str]], spark: SparkSession | None = None) -> TokenCrf:
+    """The field for a sample of sound pairs; with a session its weights are made once and kept."""
+    model = TokenCrf(5, features, offsets=(-1, 0, 1), bits=13)
+    table = labelled(sound)
+    make = lambda: model.fit(*table, epochs=EPOCHS).dump()
+    return model.load(stored(spark, "pairs", (EPOCHS, table), make) if spark else make())
 
 
 def is_empty(answer: str | None) -> bool:
@@ -192,23 +217,19 @@ def defects(model: TokenCrf, inputs: list[str | None], answers: list[str | None]
         t = tag[off[i] : off[i + 1]]
         if not t.any():
             continue
-        n = np.array(sizes[i])
-        share = np.bincount(t, n, 5) / n.sum()
-        strange = share[REFUSAL] + share[FOREIGN]
-        if strange >= 0.5 and _CUE.search(" ".join(fold(w) for w in words(answers[i])) + " "):
-            out[i] = "refusal"
-        elif strange >= 0.5 and (share[FOREIGN] >= 0.5 or "v5" not in "".join(sigs[i])):
-            out[i] = "other_language"
-        elif share[ECHO] >= 0.5 and "q1" in sigs[i][0].split("|"):
+        share = np.bincount(t, sizes[i], 5) / sum(sizes[i])
+        if share[REFUSAL] + share[FOREIGN] >= 0.5:
+            out[i] = "refusal" if share[REFUSAL] >= share[FOREIGN] else "other_language"
+        elif share[ECHO] >= 0.5:
             out[i] = "copy"
-        elif t[-1] == UNFINISHED and "u3" in sigs[i][-1].split("|"):
+        elif t[-1] == UNFINISHED:
             out[i] = "truncated"
     return out
 
 
 def sample(df: DataFrame, source: str, answer: str, rows: int = SAMPLE) -> list[tuple[str, str]]:
     """At most ``rows`` pairs, the same ones however the table is laid out."""
-    return [tuple(r) for r in df.where(F.col(source).isNotNull() & F.col(answer).isNotNull()).select(source, answer).orderBy(F.xxhash64(source, answer), source).limit(rows).collect()]
+    return sampled(df, [source, answer], rows)
 
 
 def flag(df: DataFrame, keys: list[str], source: str, answer: str, model: TokenCrf) -> DataFrame:

@@ -18,9 +18,10 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sampled, stored
 from .crf import TokenCrf
 
 SAMPLE = 900
@@ -191,8 +192,12 @@ def labelled(backgrounds: list[str], rows: int = 3200, seed: int = 7) -> tuple[l
     return xs, ys
 
 
-def train(backgrounds: list[str]) -> TokenCrf:
-    return TokenCrf(11, features).fit(*labelled(backgrounds))
+def train(backgrounds: list[str], spark: SparkSession | None = None) -> TokenCrf:
+    """The field for a sample of backgrounds; with a session its weights are made once and kept."""
+    model = TokenCrf(11, features)
+    table = labelled(backgrounds)
+    make = lambda: model.fit(*table).dump()
+    return model.load(stored(spark, "pii", table, make) if spark else make())
 
 
 _AT = re.compile(r"@|\(\s*at\s*\)|\[\s*at\s*\]|a c[òo]ng", re.I)
@@ -280,11 +285,9 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-
-
 def sample(df: DataFrame, text: str, rows: int = SAMPLE) -> list[str]:
     """At most ``rows`` texts, the same ones for the same table however it is laid out."""
-    return [r[0] for r in df.where(F.col(text).isNotNull()).orderBy(F.xxhash64(text), text).limit(rows).select(text).collect()]
+    return [t for (t,) in sampled(df, [text], rows)]
 
 
 def annotate(df: DataFrame, id_col: str, text: str, model: TokenCrf) -> DataFrame:

@@ -24,7 +24,7 @@ def _pairs(spark, d):
 
 
 def p3_found(spark, d):
-    model = pairs.train(pairs.sample(read(spark, d, "candidates"), "input_text", "candidate_text"))
+    model = pairs.train(pairs.sample(read(spark, d, "candidates"), "input_text", "candidate_text"), spark)
     return pairs.flag(_pairs(spark, d), ["id", "answer_field"], "input_text", "answer", model).distinct()
 
 
@@ -69,7 +69,7 @@ def p6_rates(spark, d):
 
 def _private(spark, d):
     c, g = read(spark, d, "corpus"), read(spark, d, "gold")
-    model = pii.train(pii.sample(c, "input_text"))
+    model = pii.train(pii.sample(c, "input_text"), spark)
     rows = (
         c.select("id", F.lit("input_text").alias("field_name"), F.col("input_text").alias("t"))
         .unionByName(g.select("id", F.lit("input_text").alias("field_name"), F.col("input_text").alias("t")))
