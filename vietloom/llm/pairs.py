@@ -96,7 +96,7 @@ def clauses(source: str | None, answer: str) -> tuple[list[str], list[int]]:
     for k, (r, f) in enumerate(zip(rows, folded, strict=True)):
         m = sum(w in fa for w in f) / len(f)
         v = sum(_SYLLABLE.fullmatch(w) is not None for w in f) / len(f)
-        parts = [f"m{_bin(m)}", f"e{_bin(sum(w in exact for w in r) / len(r))}", f"v{_bin(v)}", f"q{int(equal)}", f"n{min(len(r), 6)}", f"mv{_bin(m)}{_bin(v)}", f"k{int(cues[k])}{int(any_cue)}", f"mk{_bin(m)}{int(cues[k])}{int(any_cue)}"]
+        parts = [f"m{_bin(m)}", f"e{_bin(sum(w in exact for w in r) / len(r))}", f"v{_bin(v)}", f"q{int(equal)}", f"n{min(len(r), 6)}", f"mv{_bin(m)}{_bin(v)}", f"k{int(cues[k])}{int(any_cue)}", f"mk{_bin(m)}{int(cues[k])}{int(any_cue)}", f"z{int(not a)}{_bin(v)}{int(any_cue)}"]
         if k == len(rows) - 1:
             parts.append(f"u{0 if rest < 0.1 else 1 if rest < 0.2 else 2 if rest < 0.25 else 3}")
         if m < 0.55:
@@ -164,23 +164,29 @@ def labelled(sound: list[tuple[str, str]], rows: int = 1500, seed: int = 11) ->
         if kind == REFUSAL:
             b = r.choice([". ", ", ", " - ", " nhưng ", " "]).join(x for x in (r.choice(_FIRST), r.choice(_BODY)) if x) + r.choice([". ", ", ", "", " "]) + r.choice(_LAST)
         elif kind == ECHO:
-            b = r.choice([a, a.upper(), a.lower(), f"“{a}”", f"{r.choice(_LABELS)}: {a}"])
+            b = r.choice([a, a.upper(), a.lower(), f"“{a}”", *[f"{r.choice(_LABELS)}: {x}" for x in (a, a.lower(), a.upper())]])
         elif kind == FOREIGN:
             b = _abroad(r)
-        elif kind == UNFINISHED:
+        elif kind == UNFINISHED or kind == ANSWER and i % 12:  # cut short, or by so little that it is no defect
             w = b.split(" ")
-            b = " ".join(w[: max(3, int(len(w) * r.uniform(0.25, 0.7)))])
-            b = b[: r.randint(max(1, len(b) - 3), len(b))] + r.choice(["", "…", " ...", ""])
+            b = " ".join(w[: max(3, int(len(w) * (r.uniform(0.25, 0.7) if kind else r.uniform(0.76, 0.98))))])
+            b = b[: r.randint(max(1, len(b) - 3), len(b))] + r.choice(["", "…", " ...", ""]) if kind else b
         elif kind == 5:  # an input in which a single word is left to normalise is answered, not echoed
             w = b.split(" ")
             j = r.randrange(len(w))
             w[j] = fold(w[j].lower()) if fold(w[j].lower()) != w[j].lower() else w[j] + "z"
             a = " ".join(w)
+        if kind in (ANSWER, REFUSAL, FOREIGN) and r.random() < 0.2:
+            a = None  # an answer whose input is not known, of any length
+            if kind == ANSWER:
+                w = b.split(" ")
+                at = r.randrange(len(w))
+                b = " ".join(w[at : at + r.randint(1, len(w))])
         sig, _ = clauses(a, b)
         if not sig:
             continue
         tag = [kind if kind in (REFUSAL, ECHO, FOREIGN) else ANSWER] * len(sig)
-        if kind == UNFINISHED and "u3" in sig[-1].split("|"):
+        if kind in (ANSWER, UNFINISHED) and "u3" in sig[-1].split("|"):
             tag[-1] = UNFINISHED
         xs.append(sig[:40])
         ys.append(tag[:40])
