@@ -17,7 +17,6 @@ from ..session import shared_dir
 
 U = np.uint64
 MULT = U(0x9E3779B97F4A7C15)
-SKETCH_BITS = 20
 BITMAP_BITS = 24
 
 
@@ -70,20 +69,6 @@ def lists(off: np.ndarray, flat: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)
 
 
-def word_sketch(df: DataFrame, hashes: str, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Occurrences of words by hash bucket over all rows: always ``2**bits`` counters (4 MB at 20 bits).
-
-    Counted in Spark with map-side sums; the driver gets at most one row per bucket. Buckets only rank words by
-    rarity, so clashes change which seed is chosen, never which pair is found.
-    """
-    b = F.col("w").bitwiseAND((1 << bits) - 1).cast("int").alias("b")
-    rows = df.select(F.explode(hashes).alias("w")).select(b).groupBy("b").count().toArrow()
-    out = np.zeros(1 << bits, np.uint32)
-    if rows.num_rows:
-        out[rows["b"].to_numpy()] = np.minimum(rows["count"].to_numpy(), 2**32 - 1)
-    return out
-
-
 def bitmap(df: DataFrame, col: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """A presence bitmap of the hashes in ``col``: always ``2**bits`` bits (2 MB at 24 bits).
 

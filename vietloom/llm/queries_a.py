@@ -48,8 +48,8 @@ def p2_collapsed(spark, d):
 
 
 def p5_found(spark, d):
-    g = read(spark, d, "gold").where("split in ('dev', 'test')").select("id", "input_text", "target_text")
-    c = read(spark, d, "corpus").select("id", "input_text")
+    g = spread(read(spark, d, "gold").where("split in ('dev', 'test')").select("id", "input_text", "target_text"))
+    c = spread(read(spark, d, "corpus").select("id", "input_text"))
     return leaks.leaks(c, "id", "input_text", g, "id", ["input_text", "target_text"]).withColumnRenamed("item_id", "gold_id")
 
 
