@@ -22,7 +22,7 @@ from .common import U, codes, mix
 
 #: Code points from here on are kept as they are, unfolded: none of them has case, composition or is punctuation in use.
 TABLE_END = 0x20000
-HOT, SALTS = 10_000, 64
+HOT = 10_000
 MULTS = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
 _ASCII_SYMBOLS = set("$+<=>^`|~")
 #: Variation selectors and joiners only choose a drawing style.
@@ -153,7 +153,7 @@ def copies(df: DataFrame, id_col: str, text: str | Column, source: str | Column)
 
     Groups are found over ids and hashes alone, summed on the map side, so one that holds a third of all rows costs a
     row per task. Rows that clash are compared with the group's first row; groups above ``HOT`` rows are split into
-    ``SALTS`` parts for it, each with its own copy of the first row.
+    a part for each so many rows, each with its own copy of the first row.
     """
     rows = df.select(F.col(id_col).alias("_id"), (F.col(text) if isinstance(text, str) else text).alias("_t"), (F.col(source) if isinstance(source, str) else source).alias("_s"))
     rows = rows.where(F.col("_t").rlike(r"[^\s\p{Z}\p{C}]"))
@@ -161,7 +161,7 @@ def copies(df: DataFrame, id_col: str, text: str | Column, source: str | Column)
     key = ["h1", "h2", "n"]
     groups = hashed.select("_id", *key).groupBy(*key).agg(F.min("_id").alias("_f"), F.count("*").alias("_c")).where("_c > 1")
     inside = hashed.join(groups, key)
-    parts = F.when(F.col("_c") > HOT, F.lit(SALTS)).otherwise(F.lit(1))
+    parts = F.ceil(F.col("_c") / HOT).cast("int")
     first = inside.where("_id = _f").select(*key, F.struct("_id", "_t", "_s").alias("f"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
     clash = inside.where("_id <> _f").withColumn("_p", F.pmod(F.xxhash64("_id"), parts).cast("int")).join(first, [*key, "_p"])
 

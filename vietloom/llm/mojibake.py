@@ -4,8 +4,10 @@ An unknown code-page swap is a substitution cipher: what one letter became (one
 the bytes of one UTF-8 letter, or a vowel with a foreign mark) is a cipher unit. Per source, the mapping from units to
 letters is learned by expectation-maximization: counts of units between their neighbours are taken over all rows in
 Spark, and letters are weighed by the letter bigrams of the clean rows; units that are valid UTF-8 under a known code
-page start from that letter. Restoring replaces units by private signs and applies ``str.translate``; text garbled
-twice takes a second pass.
+page, or letters of two older fonts, start from that letter with a finite weight, so contexts can overrule it. Single
+signs are mapped once more as one cipher, each to a letter of its own, which needs no table of the page; that mapping
+holds where it explains the contexts better. All learning runs in Spark tasks, one a source. Restoring replaces units
+by private signs and applies ``str.translate``; text garbled twice takes a second pass.
 
 A record counts as garbled if it holds replacement characters inside words, a unit of several signs that is a letter's
 UTF-8 bytes inside a word, or two words with foreign signs that read as words once mapped. Single symbols such as ©
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import codes
 
 #: The letters of Vietnamese.
@@ -75,6 +78,19 @@ def _page(name: str) -> dict[str, int]:
     return out
 
 
+#: Single-byte code pages whose signs may be cipher units; signs of no code page never are.
+CODE_PAGES = (
+    "latin-1 cp1250 cp1251 cp1252 cp1253 cp1254 cp1257 cp1258 koi8-r koi8-u mac_roman mac_cyrillic mac_greek mac_latin2 mac_turkish cp437 cp737 cp775 cp850 cp852 cp855 cp857 cp860 cp861 cp863 cp865 cp866 cp869"
+    " iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-7 iso8859-9 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16"
+).split()
+
+
+@functools.cache
+def _signs() -> frozenset[str]:
+    """ASCII, the letters, their marks, and all signs of the code pages: some hundreds, whatever the corpus holds."""
+    return frozenset([*map(chr, range(128)), *ALPHA, *"\u0300\u0301\u0302\u0303\u0306\u0309\u031b\u0323", *(c for name in CODE_PAGES for c in _page(name))])
+
+
 @functools.cache
 def _letter(unit: str) -> str | None:
     """The one character whose UTF-8 bytes the unit shows under some code page."""
@@ -198,17 +214,20 @@ def bigrams(df: DataFrame, text: str) -> np.ndarray:
     return np.log(c / c.sum(1, keepdims=True))
 
 
-def contexts(df: DataFrame, text: str, source: str) -> list[tuple[str | None, str, str, str, int]]:
-    """(source, unit, left, right, count) of foreign units over all suspect rows, summed in Spark.
+def contexts(df: DataFrame, text: str, source: str) -> DataFrame:
+    """(s, u, a, z, n): counts of cipher units between their neighbours by source, over all suspect rows.
 
-    Rows are distinct symbols, not records: their number is bounded by the signs of the code pages.
+    Rows are distinct symbols, not records: units consist of code-page signs, and a neighbour that is neither a letter
+    nor such a unit counts as a gap, so their number a source is bounded by the code pages.
     """
 
     def run(batches):
+        signs = _signs()
         for b in batches:
             c: Counter = Counter()
             texts = b.column("t").to_pylist()
             b = b.filter(pa.array(suspects(texts)))
+            side = lambda x: x if x in INDEX or (len(x) > 1 or ord(x) > 127) and all(k in signs for k in x) and x != LOST else " "
             for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True):
                 t = unicodedata.normalize("NFC", t)
                 vni = _is_vni(t)
@@ -216,42 +235,80 @@ def contexts(df: DataFrame, text: str, source: str) -> list[tuple[str | None, st
                     if suspect(w) or vni:
                         u = [" ", *units(w, vni), " "]
                         for a, x, z in zip(u, u[1:], u[2:], strict=False):
-                            if (x not in INDEX or len(x) > 1 or x in _UP) and x != LOST and any(ord(k) > 127 for k in x) and (len(x) == 1 or (_letter(x) or " ") in INDEX):
-                                c[s, x, a if a in INDEX or len(a) > 1 or ord(a[0]) > 127 else " ", z if z in INDEX or len(z) > 1 or ord(z[0]) > 127 else " "] += 1
+                            if len(x) > 1 and len(z) > 1 and _letter(z) not in INDEX:
+                                continue  # bytes of bytes: garbled twice, this is no letter yet
+                            if (x not in INDEX or len(x) > 1 or x in _UP) and x != LOST and any(ord(k) > 127 for k in x) and all(k in signs for k in x) and (len(x) == 1 or (_letter(x) or " ") in INDEX):
+                                c[s, x, side(a), side(z)] += 1
             cols = list(zip(*((*k, n) for k, n in c.items()), strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in cols[:4]), pa.array(cols[4], pa.int64())], names=["s", "u", "a", "z", "n"])
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(source).alias("s"), F.col(text).alias("t")).mapInArrow(run, "s string, u string, a string, z string, n long")
-    return [tuple(r) for r in rows.groupBy("s", "u", "a", "z").agg(F.sum("n")).collect()]
+    return rows.groupBy("s", "u", "a", "z").agg(F.sum("n").alias("n"))
+
+
+def assign(gain: np.ndarray) -> np.ndarray:
+    """The column of each row, all different, of the largest total gain (the Hungarian method; rows <= columns)."""
+    n, m = gain.shape
+    up, vp = np.zeros(n), np.zeros(m)
+    row_of = np.full(m, -1)
+    for i in range(n):
+        least, came, seen = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        r, j = i, -1
+        while True:  # grow the tree of tight edges from row i until a free column is met
+            slack = -gain[r] - up[r] - vp
+            better = ~seen & (slack < least)
+            least[better], came[better] = slack[better], j
+            k = int(np.argmin(np.where(seen, np.inf, least)))
+            step = least[k]
+            up[i] += step
+            up[row_of[seen]] += step
+            vp[seen] -= step
+            least[~seen] -= step
+            seen[k] = True
+            j = k
+            if row_of[k] < 0:
+                break
+            r = row_of[k]
+        while j >= 0:
+            row_of[j] = i if came[j] < 0 else row_of[came[j]]
+            j = came[j]
+    out = np.zeros(n, np.int64)
+    out[row_of[row_of >= 0]] = np.nonzero(row_of >= 0)[0]
+    return out
+
+
+#: A letter that a table gives to a unit counts as so many sightings, and this many times the unit's own.
+TRUST = (60, 2.0)
 
 
 def learn(rows: list[tuple[str, str, str, int]], logb: np.ndarray, prior: dict[str, np.ndarray] | None = None, rounds: int = 12) -> dict[str, np.ndarray]:
     """Expectation-maximization of P(letter | unit) from (unit, left, right, count)."""
+    if not rows:
+        return {}
     b = np.exp(logb)
     freq = b.mean(0) + 1e-6
     freq[0] = 0.0
     names = sorted({u for u, *_ in rows})
     at = {u: i for i, u in enumerate(names)}
+    u = np.array([at[r[0]] for r in rows])
+    n = np.array([r[3] for r in rows], float)
+    uses = np.bincount(u, n, len(names))
     base = np.empty((len(names), N))
-    for u, i in at.items():
-        x = _letter(u) if len(u) > 1 else None
+    for name, i in at.items():
+        x = _letter(name) if len(name) > 1 else None
         p = 0.3 * freq / freq.sum()
         if x in INDEX:
-            p[INDEX[x]] += 1e9
-        for y in _known(u):
-            p[INDEX[y]] += 60
-        if len(u) == 1 and u in INDEX:
-            p[INDEX[u]] += 1
-        elif len(u) == 2 and u[0] in INDEX and x not in INDEX:  # a vowel and its mark: the same vowel, most likely
-            same = [INDEX[c] for c in ALPHA if c != " " and unicodedata.normalize("NFD", c)[0] == unicodedata.normalize("NFD", u[0])[0]]
+            p[INDEX[x]] += TRUST[0] + TRUST[1] * uses[i]
+        for y in _known(name):
+            p[INDEX[y]] += TRUST[0]
+        if len(name) == 1 and name in INDEX:
+            p[INDEX[name]] += 1
+        elif len(name) == 2 and name[0] in INDEX and x not in INDEX:  # a vowel and its mark: the same vowel, most likely
+            same = [INDEX[c] for c in ALPHA if c != " " and unicodedata.normalize("NFD", c)[0] == unicodedata.normalize("NFD", name[0])[0]]
             p[same] += 1.0 / len(same)
         p[0] = 0
-        base[i] = p if prior is None or u not in prior else p * 0.2 + 3 * prior[u]
+        base[i] = p if prior is None or name not in prior else p * 0.2 + 3 * prior[name]
     theta = base / base.sum(1, keepdims=True)
-    if not rows:
-        return {}
-    u = np.array([at[r[0]] for r in rows])
-    n = np.array([r[3] for r in rows], float)
     # a neighbour is a known letter (row of the identity) or another unit (row of theta)
     side = lambda j: np.array([N + at[r[j]] if r[j] in at else INDEX.get(r[j], 0) for r in rows])
     left, right = side(1), side(2)
@@ -263,32 +320,99 @@ def learn(rows: list[tuple[str, str, str, int]], logb: np.ndarray, prior: dict[s
         new = base.copy()
         np.add.at(new, u, q * n[:, None])
         theta = new / new.sum(1, keepdims=True)
-    return dict(zip(names, theta, strict=True))
+    return dict(zip(names, _one_cipher(names, uses, theta, u, left, right, n, logb), strict=True))
+
+
+def _one_cipher(names: list[str], uses: np.ndarray, theta: np.ndarray, u: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, logb: np.ndarray, least: int = 200, margin: float = 0.1) -> np.ndarray:
+    """``theta`` with the single signs mapped one to one, if they are a page that the tables do not have.
+
+    That is where most of their uses are signs without a letter in the tables, or where the one-to-one mapping explains
+    the contexts of those that have one better than the tables by ``margin`` a use. Each round scores every letter for
+    every sign by the bigrams with its neighbours as they are mapped so far, and takes the best assignment of all signs
+    together; the neighbours' mapping starts soft and hardens.
+    """
+    accented = np.array([ord(c) > 127 for c in ALPHA])
+    single = np.array([i for i in np.argsort(-uses, kind="stable") if len(names[i]) == 1 and names[i] not in INDEX], np.int64)[: int(accented.sum())]
+    place = np.full(len(names), -1)
+    place[single] = np.arange(len(single))
+    on = place[u] >= 0
+    if not len(single) or n[on].sum() < least:
+        return theta
+    b = np.exp(logb)
+    own, w = place[u[on]], n[on]
+
+    def scores(t: np.ndarray) -> np.ndarray:
+        known = np.concatenate([np.eye(N), t])
+        s = np.zeros((len(single), N))
+        np.add.at(s, own, (np.log(known[left[on]] @ b + 1e-12) + np.log(known[right[on]] @ b.T + 1e-12)) * w[:, None])
+        return s
+
+    hard = lambda t: np.eye(N)[t.argmax(1)]
+    was = hard(theta)
+    in_table = np.array([k for k, i in enumerate(single) if _known(names[i])], np.int64)
+    soft = np.where(accented, b.mean(0), 0)
+    soft = soft / soft.sum()
+    now = was.copy()
+    now[single] = soft
+    for k in range(8):
+        s = scores(now)
+        s[:, ~accented] = -1e12
+        letter = assign(s)
+        t = max(0.0, 0.5 - 0.08 * k)
+        now[single] = (1 - t) * np.eye(N)[letter] + t * soft
+    weight = np.bincount(own, w, len(single))
+    if weight[in_table].sum() >= 0.5 * weight.sum():
+        gain = scores(hard(now))[in_table, letter[in_table]].sum() - scores(was)[in_table, theta[single].argmax(1)[in_table]].sum()
+        if gain <= margin * weight[in_table].sum():
+            return theta
+    out = theta.copy()
+    out[single] = 0.1 * theta[single] + 0.9 * np.eye(N)[letter]
+    return out
+
+
+def mapping(ctx: DataFrame, logb: np.ndarray) -> tuple[dict[str, str], dict[str | None, dict[str, str]]]:
+    """(unit to letter over all sources, the units of each source that it maps otherwise).
+
+    Learned in one task for all sources together, whose contexts are bounded by the code pages, and in one a source;
+    the driver gets a row a unit, and a row for each unit that a source maps otherwise.
+    """
+    ctx = written(ctx, "contexts")
+    rows = lambda t: list(zip(*(t[c].to_pylist() for c in ("u", "a", "z", "n")), strict=True))
+
+    def all_(t: pa.Table) -> pa.Table:
+        theta = learn(rows(t), logb)
+        return pa.table({"u": pa.array(list(theta), pa.string()), "p": pa.array([p.astype(np.float32).tobytes() for p in theta.values()], pa.binary())})
+
+    whole = ctx.groupBy("u", "a", "z").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(all_, "u string, p binary").toArrow()
+    theta = {u: np.frombuffer(p, np.float32).astype(float) for u, p in zip(whole["u"].to_pylist(), whole["p"].to_pylist(), strict=True)}
+    table = {u: ALPHA[int(p.argmax())] for u, p in theta.items()}
+
+    def own(t: pa.Table) -> pa.Table:
+        got = [(u, ALPHA[int(p.argmax())]) for u, p in learn(rows(t), logb, theta).items()]
+        got = [(u, x) for u, x in got if table.get(u) != x]
+        s = t["s"][0].as_py() if t.num_rows else None
+        return pa.table({"s": pa.array([s] * len(got), pa.string()), "u": pa.array([u for u, _ in got], pa.string()), "x": pa.array([x for _, x in got], pa.string())})
+
+    other: dict[str | None, dict[str, str]] = {}
+    t = ctx.groupBy("s").applyInArrow(own, "s string, u string, x string").toArrow()
+    for s, u, x in zip(*(t[c].to_pylist() for c in ("s", "u", "x")), strict=True):
+        other.setdefault(s, {})[u] = x
+    return table, other
 
 
 class Restorer:
     """Mappings by source, and the letter bigrams to judge what they give."""
 
-    def __init__(self, rows: list[tuple[str | None, str, str, str, int]], logb: np.ndarray):
+    def __init__(self, table: dict[str, str], other: dict[str | None, dict[str, str]], logb: np.ndarray):
         self.logb = logb
-        both: Counter = Counter()
-        for _, u, a, z, n in rows:
-            both[u, a, z] += n
-        theta = learn([(*k, n) for k, n in both.items()], logb)
-        self.maps: dict[str | None, tuple[dict[str, str], dict[int, str]]] = {}
-        for s in {r[0] for r in rows}:
-            own = learn([r[1:] for r in rows if r[0] == s], logb, theta)
-            self.maps[s] = self._tables(own)
-        self.default = self._tables(theta)
+        self.default = self._tables(table)
+        self.maps = {s: self._tables(table | own) for s, own in other.items()}
 
     @staticmethod
-    def _tables(theta: dict[str, np.ndarray]) -> tuple[dict[str, str], dict[int, str]]:
+    def _tables(letters: dict[str, str]) -> tuple[dict[str, str], dict[int, str]]:
         """Units to private signs, and private signs to letters for ``str.translate``."""
-        signs, table = {}, {}
-        for i, (u, p) in enumerate(sorted(theta.items())):
-            signs[u] = chr(0xF0000 + i)
-            table[0xF0000 + i] = ALPHA[int(p.argmax())]
-        return signs, table
+        signs = {u: chr(0xF0000 + i) for i, u in enumerate(sorted(letters))}
+        return signs, {ord(c): letters[u] for u, c in signs.items()}
 
     def word(self, token: str, source: str | None, vni: bool) -> tuple[str, bool]:
         """(restored token, whether a unit of several signs was a letter's bytes)."""
@@ -318,6 +442,7 @@ class Restorer:
         lost = len(re.findall(f"[^\\W\\d_]{LOST}|{LOST}[^\\W\\d_]|{LOST}{{2}}", text)) + (1 if len(re.findall(r"(?<=[^\W\d_])\?(?=[^\W\d_])", text)) >= 3 else 0)
         for _ in range(3):
             vni, parts, changed = _is_vni(out), tokens(out), False
+            alone: list[tuple[int, str]] = []  # letters and drawings by themselves: no proof, but restored along with the row
             for i, w in enumerate(parts):
                 if not w or w.isspace() or not (suspect(w) or vni):
                     continue
@@ -337,6 +462,12 @@ class Restorer:
                     garbled += 2 if sure else 1
                     parts[i] = w.replace(core, new)
                     changed = True
+                elif sure or any(len(u) > 1 and ord(u[0]) > 127 and _letter(u) for u in units(core, vni)):
+                    alone.append((i, w.replace(core, new)))
+            if garbled >= 2:
+                for i, w in alone:
+                    parts[i] = w
+                    changed = True
             if not changed:
                 break
             out = "".join(parts)
@@ -345,7 +476,8 @@ class Restorer:
 
 def restore(df: DataFrame, id_col: str, text: str, source: str, least: float = -4.6) -> DataFrame:
     """(id, garbled, restored) of every suspect row; the others are clean as they are."""
-    r = Restorer(contexts(df, text, source), bigrams(df, text))
+    logb = bigrams(df, text)
+    r = Restorer(*mapping(contexts(df, text, source), logb), logb)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):

@@ -94,6 +94,13 @@ def plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS, overhead: i
         out.append((sizes, length, times))
 
 
+def outline(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS, overhead: int | None = None) -> dict[str, float]:
+    """Containers of a plan, their capacity in tokens, and the share of it left unused."""
+    p = plan(counts, lengths, overhead)
+    n, capacity, used = sum(t for _, _, t in p), sum(x * t for _, x, t in p), sum(s * c for s, c in counts.items())
+    return {"n_containers": n, "capacity": capacity, "unused_share": 1 - used / capacity if capacity else 0.0}
+
+
 def pieces(df: DataFrame, id_col: str, size: str, cap: int) -> DataFrame:
     """(id, piece, start, size): one piece an item, more only for items beyond ``cap``."""
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
@@ -111,15 +118,20 @@ def ranked(df: DataFrame, key: str, order: list[str], parts: int) -> DataFrame:
     return d.withColumn("_r", local).join(before, [key, "_s"]).withColumn("rank", (F.col("_r") + F.col("_b")).cast("long")).drop("_s", "_r", "_b")
 
 
-def pack(df: DataFrame, id_col: str, size: str, lengths: tuple[int, ...] = LENGTHS, per_task: int = 1_000_000) -> DataFrame:
-    """(id, piece, start, size, container, length): where each piece lies."""
+def histogram(items: DataFrame) -> dict[int, int]:
+    """Pieces by size: at most as many rows as the largest length."""
+    return {r["size"]: r["n"] for r in items.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}
+
+
+def pack(df: DataFrame, id_col: str, size: str, lengths: tuple[int, ...] = LENGTHS, per_task: int = 1_000_000, overhead: int | None = None) -> DataFrame:
+    """(id, piece, start, size, container, length): where each piece lies; ``overhead`` as in :func:`plan`."""
     spark, cap = df.sparkSession, max(lengths)
     items = pieces(df, id_col, size, cap)
-    counts = {r["size"]: r["n"] for r in items.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most ``cap`` rows
+    counts = histogram(items)
     parts = max(64, -(-max(counts.values(), default=0) // per_task))  # rows of one size are ranked in so many parts
     rows, first = [], 1
     used = dict.fromkeys(counts, 0)
-    for sizes, length, times in plan(counts, lengths):
+    for sizes, length, times in plan(counts, lengths, overhead):
         for s in set(sizes):
             n = sizes.count(s)
             rows.append((s, used[s], used[s] + n * times, first, n, length))

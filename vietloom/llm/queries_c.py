@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..functions.text import composed
+from ..plans.common import bucket, bucket_sql
 from . import mojibake, pairs, pii, toxicity
 from .common import read, spread
 
 TOXIC_FROM = 0.25
+#: A sign that clean text does not hold, in the notation that both engines read.
+CLEAN = "[^" + re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", mojibake._CLEAN) + "]"
 
 
 def _corpus(spark, d):
@@ -48,6 +54,18 @@ def p4_rates(spark, d):
     return p4_restored(spark, d).groupBy("original_source").agg(F.count("*").alias("n_records"), F.count_if("garbled").alias("n_garbled"))
 
 
+def p4_roundtrip(spark, d):
+    """Clean records of the corpus, a third of them garbled here: how many there are, and whether nearly all garbled ones
+    are found and come back as they were, and no clean one is taken for garbled."""
+    c = read(spark, d, "corpus").where("input_text is not null").select("id", "original_source", F.col("input_text").alias("true")).where(~F.col("true").rlike(CLEAN))
+    bad = F.expr(bucket("id", 3)) == 0
+    g = spread(c).withColumn("garbled", bad & F.col("true").rlike(r"[^\x00-\x7F]")).withColumn("input_text", F.when(bad, F.decode(F.encode("true", "UTF-8"), "ISO-8859-1")).otherwise(F.col("true")))
+    r = mojibake.restore(g, "id", "input_text", "original_source").where("garbled").select("id", "restored").dropDuplicates(["id"])
+    x = g.join(r, "id", "left").withColumn("back", F.col("restored") == composed(F.col("true")))
+    share = lambda c: (F.count_if(F.col("garbled") & c) >= 0.98 * F.count_if("garbled"))
+    return x.agg(F.count("*").alias("n_rows"), F.count_if("garbled").alias("n_garbled"), share(F.col("restored").isNotNull()).alias("found"), share(F.coalesce("back", F.lit(False))).alias("restored"), (F.count_if(~F.col("garbled") & F.col("restored").isNotNull()) == 0).alias("clean_kept"))
+
+
 def _toxicity(spark, d):
     c = _corpus(spark, d)
     channel, model = toxicity.learn(c, "input_text", read(spark, d, "toxicity_labels"), "toxic")
@@ -89,4 +107,8 @@ def p7_redacted(spark, d):
     return _private(spark, d).select("id.id", "id.field_name", "redacted", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_restored": p4_restored, "p4_rates": p4_rates, "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates, "p7_found": p7_found, "p7_redacted": p7_redacted}
+QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_restored": p4_restored, "p4_rates": p4_rates, "p4_roundtrip": p4_roundtrip, "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates, "p7_found": p7_found, "p7_redacted": p7_redacted}
+
+ORACLE = {
+    "p4_roundtrip": f"SELECT count(*) AS n_rows, count_if({bucket_sql('id', 3)} = 0 AND regexp_matches(input_text, '[^\\x00-\\x7F]'))::BIGINT AS n_garbled, true AS found, true AS restored, true AS clean_kept FROM corpus WHERE input_text IS NOT NULL AND NOT regexp_matches(input_text, '{CLEAN}')",
+}

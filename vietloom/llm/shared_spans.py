@@ -77,7 +77,7 @@ def _batches(b: pa.RecordBatch, chars: int = 1_000_000):
 
 
 def _texts(df: DataFrame, id_col: str, text: str, span: int) -> DataFrame:
-    return df.where(F.length(text) >= span).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t"))
+    return df.where(F.length(text) >= span).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text).alias("k2"), F.col(text).alias("t"))
 
 
 def windows(docs: DataFrame, span: int) -> DataFrame:
@@ -128,7 +128,7 @@ def shared(df: DataFrame, id_col: str, text: str, span: int = 120) -> DataFrame:
     starts = w.join(common, ["w1", "w2"]).select("k", "start")
     before = F.lag("start").over(Window.partitionBy("k").orderBy("start"))
     part = starts.withColumn("add", F.least(F.coalesce(F.col("start") - before, F.lit(span)), F.lit(span))).groupBy("k").agg(F.sum("add").cast("long").alias("n_shared"))
-    ids = docs.select("id", "k", F.length("t").cast("long").alias("n_chars")).distinct()
-    twins = ids.groupBy("k").agg(F.count("*").alias("twins"))
-    found = ids.join(twins, "k").join(part, "k", "left").where("twins > 1 or n_shared > 0")
+    ids = docs.select("id", "k", "k2", F.length("t").cast("long").alias("n_chars")).distinct()
+    twins = ids.groupBy("k", "k2").agg(F.count("*").alias("twins"))  # equal by 128 bits
+    found = ids.join(twins, ["k", "k2"]).join(part, "k", "left").where("twins > 1 or n_shared > 0")
     return found.select(F.col("id").alias(id_col), "n_chars", F.when(F.col("twins") > 1, F.col("n_chars")).otherwise(F.col("n_shared")).alias("n_shared"))
