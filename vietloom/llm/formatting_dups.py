@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, codes, mix
+from ..session import written
+from .common import U, bitmap, codes, in_bitmap, mix
 
 #: Code points from here on are kept as they are, unfolded: none of them has case, composition or is punctuation in use.
 TABLE_END = 0x20000
@@ -127,8 +128,9 @@ def same_folded(a: str | None, b: str | None) -> bool:
             return True
 
 
-def fold_hash_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with h1, h2, n: hashes over the folded ``columns`` in turn, each kept apart from the next."""
+def fold_hash_columns(df: DataFrame, columns: list[str], among: np.ndarray | None = None) -> DataFrame:
+    """``df`` with h1, h2, n: hashes over the folded ``columns`` in turn, each kept apart from the next; only rows whose
+    h1 may be in the bitmap ``among``, if there is one."""
     fields = [f for f in df.schema.fields if f.name not in ("h1", "h2", "n")]
     keep = [f.name for f in fields]
 
@@ -142,7 +144,8 @@ def fold_hash_columns(df: DataFrame, columns: list[str]) -> DataFrame:
                 absent = np.array([t is None for t in texts], U)
                 h = [mix(h[0] * U(31) + x + absent), mix(h[1] * U(37) + y + absent)]
                 n = n * 1_000_003 + m
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(v.view(np.int64)) for v in h), pa.array(n)], names=[*keep, "h1", "h2", "n"])
+            out = pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(v.view(np.int64)) for v in h), pa.array(n)], names=[*keep, "h1", "h2", "n"])
+            yield out if among is None else out.filter(pa.array(in_bitmap(among, h[0])))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", h1 long, h2 long, n long"
     return df.select(*keep).mapInArrow(run, schema)
@@ -152,15 +155,15 @@ def copies(df: DataFrame, id_col: str, text: str | Column, source: str | Column)
     """(first_id, copy_id) of every record but the first of each group of copies.
 
     Groups are found over ids and hashes alone, summed on the map side, so one that holds a third of all rows costs a
-    row per task. Rows that clash are compared with the group's first row; groups above ``HOT`` rows are split into
+    row per task. Only rows that a bitmap of the groups (2 MB) lets through travel with their texts, and once. Rows that clash are compared with the group's first row; groups above ``HOT`` rows are split into
     a part for each so many rows, each with its own copy of the first row.
     """
     rows = df.select(F.col(id_col).alias("_id"), (F.col(text) if isinstance(text, str) else text).alias("_t"), (F.col(source) if isinstance(source, str) else source).alias("_s"))
     rows = rows.where(F.col("_t").rlike(r"[^\s\p{Z}\p{C}]"))
-    hashed = fold_hash_columns(rows, ["_t", "_s"])
     key = ["h1", "h2", "n"]
-    groups = hashed.select("_id", *key).groupBy(*key).agg(F.min("_id").alias("_f"), F.count("*").alias("_c")).where("_c > 1")
-    inside = hashed.join(groups, key)
+    groups = fold_hash_columns(rows, ["_t", "_s"]).groupBy(*key).agg(F.min("_id").alias("_f"), F.count("*").alias("_c")).where("_c > 1")
+    groups = written(groups, "groups")
+    inside = written(fold_hash_columns(rows, ["_t", "_s"], bitmap(groups, "h1")).join(groups, key), "clashes")
     parts = F.ceil(F.col("_c") / HOT).cast("int")
     first = inside.where("_id = _f").select(*key, F.struct("_id", "_t", "_s").alias("f"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
     clash = inside.where("_id <> _f").withColumn("_p", F.pmod(F.xxhash64("_id"), parts).cast("int")).join(first, [*key, "_p"])
