@@ -102,6 +102,19 @@ def validated(ep: DataFrame, pool: DataFrame, id_col: str, per_epoch: int) -> Da
     return a.join(b, "_one").join(c, "_one").drop("_one")
 
 
+def manifest(ep: DataFrame, seed: int) -> DataFrame:
+    """A row per epoch: its seed, pseudo ids and distinct ones, and a digest of the ids that does not hang on their order
+    (the sum of the first 32 bits of their MD5, so it is made with map-side sums)."""
+    h = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")
+    return ep.groupBy("epoch").agg(F.count("*").alias("pseudo_count"), F.countDistinct("id").alias("n_distinct"), F.sum(h).alias("digest")).select("epoch", (F.col("epoch") + seed).alias("epoch_seed"), "pseudo_count", "n_distinct", "digest")
+
+
+def manifest_faults(m: DataFrame, seed: int, gold_count: int) -> DataFrame:
+    """(epoch, fault): epochs with another seed, with ids twice, or not one pseudo id to each gold id."""
+    rules = [(F.col("epoch_seed") != F.col("epoch") + seed, "seed"), (F.col("n_distinct") != F.col("pseudo_count"), "repeated_ids"), (F.col("pseudo_count") != gold_count, "not_one_to_one")]
+    return m.select("epoch", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules]))).alias("fault"))
+
+
 def ordered_digest(df: DataFrame, id_col: str, order: str, block: int = 10_000) -> DataFrame:
     """SHA-256 of the ids in order: of blocks first, then of the block digests, so no task holds all ids."""
     r = rank_within(df.select(F.col(id_col).alias("id"), F.col(order).alias("o")), [], ["o", "id"], "rn")

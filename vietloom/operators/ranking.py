@@ -60,8 +60,17 @@ def hash_order(seed: int, *parts: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]), 256)
 
 
-def stratified(df: DataFrame, strata: list[str], quota: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """The first ``quota`` rows of each stratum in seeded hash order, with their rank."""
+def short_strata(df: DataFrame, strata: list[str], quota: DataFrame) -> DataFrame:
+    """Strata with fewer rows than their quota, and how many they lack."""
+    n = df.groupBy(*strata).agg(F.count("*").alias("_n"))
+    x = quota.join(n, strata, "left").withColumn("missing", F.col("quota") - F.coalesce("_n", F.lit(0)))
+    return x.where("missing > 0").select(*strata, "missing")
+
+
+def stratified(df: DataFrame, strata: list[str], quota: DataFrame, id_col: str, seed: int, strict: bool = False) -> DataFrame:
+    """The first ``quota`` rows of each stratum in seeded hash order, with their rank; ``strict`` refuses short strata."""
+    if strict and (short := short_strata(df, strata, quota).limit(5).collect()):
+        raise ValueError(f"strata with too few rows: {[r.asDict() for r in short]}")
     h = rank_within(df.withColumn("_h", hash_order(seed, *strata, id_col)), strata, ["_h", id_col], "selection_rank")
     return h.join(quota, strata).where(F.col("selection_rank") <= F.col("quota")).drop("_h", "selection_rank_n")
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.edits import similarity, tokens
 from ..functions.text import clean_text
-from ..operators import ledger
-from ..operators.ranking import rank_within
+from ..operators import guards, ledger
+from ..operators.ranking import rank_within, short_strata
 from . import evaluation
 from .common import SOURCES, WS_SQL, clean_sql, in_sql, read
 
@@ -88,7 +88,33 @@ def q_resolved(spark, d):
     return s.join(r, ledger.KEY, "left").groupBy(*ledger.NAMESPACE).agg(F.count("*").alias("n_samples"), F.count("done").alias("n_resolved"))
 
 
+def _contract_faults(spark, d):
+    text = F.coalesce(clean_text("candidate_text"), F.lit(""))
+    rules = [(~F.col("original_source").isin(*SOURCES), "bad_source"), ((text != "") != (F.col("generation_status") == "generated_text"), "status_unlike_text"), (F.isnan("model_a_confidence") | F.col("model_a_confidence").isNull(), "no_confidence")]
+    bad = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for c, n in rules]))
+    return read(spark, d, "candidates").select("id", F.array_join(bad, ",").alias("faults")).where("faults <> ''").distinct()
+
+
+def q_first_faults(spark, d):
+    """The first ten rows that break the contract, by id."""
+    return _contract_faults(spark, d).orderBy("id", "faults").limit(10)
+
+
+def q_paths(spark, d):
+    """Rows of raw files by whether their name has a part that a run must not read."""
+    r = read(spark, d, "raw_source")
+    return r.groupBy("file_name").agg(F.count("*").alias("n")).select("file_name", "n", guards.has_forbidden_part(F.col("file_name"), ["test", "_02", "HOS"]).alias("forbidden"))
+
+
+def q_strata(spark, d):
+    """Strata of source and status with fewer candidates than a quota of 300 each."""
+    c = read(spark, d, "candidates")
+    q = c.select("original_source", "generation_status").where("original_source is not null").distinct().withColumn("quota", F.lit(300).cast("long"))
+    return short_strata(c, ["original_source", "generation_status"], q)
+
+
 QUERIES = {
+    "first_contract_faults": q_first_faults, "path_guard": q_paths, "short_strata": q_strata,
     "candidate_contract": q_contract, "prediction_validation": q_predictions, "id_sets": q_sets, "distinct_configs": q_configs, "example_lookup": q_lookup, "win_tie_histogram": q_wins, "request_guard": q_guard,
     "prompt_render": q_prompts, "diff_similarity": q_likeness, "resolved_samples": q_resolved,
 }
@@ -100,6 +126,9 @@ _PLAIN = "replace(strip_accents(lower({})), 'đ', 'd')"
 ORACLE = {
     "candidate_contract": f"SELECT count(*) AS n_rows, {_bad(f'original_source NOT IN {in_sql(SOURCES)}')} AS bad_source, {_bad('(' + clean_sql('candidate_text') + ' IS NOT NULL) <> (generation_status = ' + chr(39) + 'generated_text' + chr(39) + ')')} AS status_unlike_text, {_bad('isnan(model_a_confidence) OR model_a_confidence IS NULL')} AS no_confidence, {_bad('NOT regexp_matches(generation_config_hash, ' + chr(39) + '^[a-f0-9]{64}$' + chr(39) + ')')} AS bad_hash, {_bad('sequence_token_count < 1')} AS bad_count FROM candidates",
     "prediction_validation": f"WITH {evaluation._PRED}, x AS (SELECT p.*, {clean_sql('input_text')} AS gi FROM p LEFT JOIN gold USING (id)), t AS (SELECT model, count_if(n > 1)::BIGINT AS repeated_ids FROM (SELECT model, id, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1) SELECT model, count(*) AS n_rows, count_if(p = '')::BIGINT AS empty, count_if(i IS DISTINCT FROM gi)::BIGINT AS misaligned, any_value(repeated_ids) AS repeated_ids FROM x JOIN t USING (model) GROUP BY 1",
+    "first_contract_faults": f"SELECT * FROM (SELECT DISTINCT id, array_to_string(list_filter([CASE WHEN coalesce(original_source NOT IN {in_sql(SOURCES)}, true) THEN 'bad_source' END, CASE WHEN coalesce(({clean_sql('candidate_text')} IS NOT NULL) <> (generation_status = 'generated_text'), true) THEN 'status_unlike_text' END, CASE WHEN coalesce(isnan(model_a_confidence) OR model_a_confidence IS NULL, true) THEN 'no_confidence' END], lambda x: x IS NOT NULL), ',') AS faults FROM candidates) WHERE faults <> '' ORDER BY id, faults LIMIT 10",
+    "path_guard": "SELECT file_name, count(*) AS n, contains(lower(file_name), 'test') OR contains(lower(file_name), '_02') OR contains(lower(file_name), 'hos') AS forbidden FROM raw_source GROUP BY 1",
+    "short_strata": "SELECT original_source, generation_status, 300 - count(*) AS missing FROM candidates WHERE original_source IS NOT NULL AND generation_status IS NOT NULL GROUP BY 1, 2 HAVING count(*) < 300",
     "id_sets": "WITH a AS (SELECT DISTINCT id, 1 AS a FROM corpus), b AS (SELECT DISTINCT id, 1 AS b FROM candidates) SELECT count_if(a IS NOT NULL AND b IS NOT NULL)::BIGINT AS common, count_if(b IS NULL)::BIGINT AS missing, count_if(a IS NULL)::BIGINT AS \"foreign\", count_if(a IS NULL) = 0 AS subset FROM a FULL JOIN b USING (id)",
     "distinct_configs": "SELECT original_source, string_agg(DISTINCT candidate_checkpoint, ',' ORDER BY candidate_checkpoint) AS checkpoints, string_agg(DISTINCT generation_config_hash, ',' ORDER BY generation_config_hash) AS configs FROM candidates GROUP BY 1",
     "example_lookup": "SELECT place, id, input_text FROM (VALUES " + ", ".join(f"({i}::BIGINT, {x})" for i, x in enumerate(LOOKUP)) + ") w(place, n) LEFT JOIN corpus ON try_cast(regexp_extract(id, '(\\d+)$', 1) AS INT) = n",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edits as D
 from ..functions.text import clean_text
-from ..operators import curate, ledger
+from ..operators import curate, guards, ledger
 from ..operators import evaluate as E
 from ..operators import weak as W
 from ..operators.ranking import rank_within
@@ -42,6 +42,20 @@ def _built(spark, d):
     return x.select("id", "input_text", "target_text", each).select("id", "input_text", "target_text", "x.model", F.col("x.p").alias("prediction_text"))
 
 
+def q_prf_deltas(spark, d):
+    """What model_c gains over each other model in every metric, over pairs of known edits."""
+    m = q_metrics(spark, d)
+    p = lambda c, k: F.max(F.when(F.col("model") == k, F.col(c)))
+    rows = [F.struct(F.lit(k).alias("against"), *[_r(p(c, "model_c") - p(c, k)).alias(f"d_{c}") for c in ("ERR", "precision", "recall", "f1", "exact_match")]) for k in ("model_a", "model_b")]
+    return m.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def q_cells(spark, d):
+    """Runs of each cell of seeds, sizes and horizons, those without any included."""
+    e = read(spark, d, "events").where("value is not null").select((F.col("event_id") % 7).cast("int").alias("seed"), F.when(F.col("event_id") % 2 == 0, "S").otherwise("L").alias("size"), F.when(F.col("event_id") % 3 == 0, 3).otherwise(8).alias("horizon"))
+    return guards.cells(e, {"seed": [*range(9)], "size": ["S", "L"], "horizon": [3, 8]})
+
+
 def _r(c):
     return F.round(c, 9)
 
@@ -235,7 +249,7 @@ def q_lexical(spark, d):
 
 
 QUERIES = {
-    "token_levenshtein": q_levenshtein, "token_edits": q_edits, "char_edit_ratio": q_ratio, "multiset_intersect": q_multiset, "metrics_err": _error_metrics, "metrics_edit_prf": q_metrics, "metrics_edit_gold": q_metrics_gold, "model_ranking": q_ranking, "two_model_rule": q_two,
+    "token_levenshtein": q_levenshtein, "token_edits": q_edits, "char_edit_ratio": q_ratio, "multiset_intersect": q_multiset, "metrics_err": _error_metrics, "metrics_edit_prf": q_metrics, "metrics_edit_gold": q_metrics_gold, "model_ranking": q_ranking, "two_model_rule": q_two, "metric_deltas": q_prf_deltas, "factorial_cells": q_cells,
     "error_categories": q_categories, "category_histogram": q_histogram, "pairwise_contingency": q_contingency, "model_deltas": q_deltas, "pairwise_winner": q_winner, "bootstrap_ci": q_bootstrap, "bootstrap_ci_deltas": q_bootstrap_deltas, "first_errors": q_first_errors, "three_way_report": q_three_way,
     "early_stopping": q_stopping, "best_at_horizon": q_horizon, "loss_windows": q_windows, "factorial_effects": q_factorial, "weak_label_reasons": q_weak, "weak_label_drop_counts": q_weak_drops, "weak_label_edit_ratio": q_weak_edit,
     "weak_label_pivots": q_weak_pivot, "weak_label_band_pivots": q_weak_band_pivot, "weak_union_prefix": q_prefix, "text_diff": q_diff, "text_diff_kinds": q_diff_kinds, "lexical_tokens": q_lexical,
@@ -302,6 +316,8 @@ ORACLE = {
     "metrics_edit_prf": f"WITH {_BUILT_METRICS} SELECT * FROM m",
     "model_ranking": f"WITH {_BUILT_METRICS} SELECT model, row_number() OVER (ORDER BY \"ERR\" DESC, f1 DESC, exact_match DESC, model = 'model_a' DESC) AS rank, round(\"ERR\", 9) AS \"ERR\", round(f1, 9) AS f1 FROM m",
     "two_model_rule": f"WITH {_BUILT_METRICS}, v AS (SELECT max(CASE WHEN model = 'model_a' THEN f1 END) AS fa, max(CASE WHEN model = 'model_b' THEN f1 END) AS fb, max(CASE WHEN model = 'model_a' THEN \"ERR\" END) AS ea, max(CASE WHEN model = 'model_b' THEN \"ERR\" END) AS eb FROM m) SELECT CASE WHEN fa > fb THEN 'model_a' WHEN fb > fa THEN 'model_b' WHEN ea > eb THEN 'model_a' WHEN eb > ea THEN 'model_b' ELSE 'model_a' END AS winner, CASE WHEN fa <> fb THEN 'higher_f1' WHEN ea <> eb THEN 'higher_ERR' ELSE 'model_a' END AS criterion FROM v",
+    "metric_deltas": f"WITH {_BUILT_METRICS} SELECT m.model AS against, " + ", ".join(f'round(c."{c}" - m."{c}", 9) AS "d_{c}"' for c in ("ERR", "precision", "recall", "f1", "exact_match")) + " FROM m, m c WHERE c.model = 'model_c' AND m.model <> 'model_c'",
+    "factorial_cells": "SELECT seed::INT AS seed, size, horizon::INT AS horizon, count(event_id) AS n FROM range(9) a(seed), (VALUES ('S'), ('L')) b(size), (VALUES (3), (8)) h(horizon) LEFT JOIN events e ON value IS NOT NULL AND event_id % 7 = seed AND CASE WHEN event_id % 2 = 0 THEN 'S' ELSE 'L' END = size AND CASE WHEN event_id % 3 = 0 THEN 3 ELSE 8 END = horizon GROUP BY ALL",
     "three_way_report": f"""WITH {_PRED}, {_CAT}, v AS (SELECT p.id, any_value(t) AS t, {", ".join(f"max(CASE WHEN p.model = '{m}' THEN p END) AS {m}_prediction, max(CASE WHEN p.model = '{m}' THEN category END) AS {m}_category" for m in ("model_a", "model_b", "model_c"))} FROM p JOIN c ON c.id = p.id AND c.model = p.model GROUP BY p.id)
  SELECT * EXCLUDE (t), {", ".join(f"CASE WHEN (model_c_prediction = t)::INT > ({m}_prediction = t)::INT THEN 'model_c' WHEN (model_c_prediction = t)::INT < ({m}_prediction = t)::INT THEN '{m}' ELSE 'tie' END AS model_c_vs_{m[-1]}" for m in ("model_a", "model_b"))} FROM v""",
     "first_errors": f"WITH {_PRED}, {_CAT} SELECT model, id, category, row_number() OVER (PARTITION BY model ORDER BY id) AS place FROM c WHERE category <> 'correct' QUALIFY place <= 20",

@@ -87,6 +87,10 @@ def q_factorial_whole(spark, d):
     return M.factorial(small, _pool(spark, d), "id", M.share(small, "id"), WHOLE_ARMS, SEED)
 
 
+def q_manifest(spark, d):
+    return M.manifest(_whole_epochs(spark, d), SEED)
+
+
 def q_digest(spark, d):
     return M.ordered_digest(read(spark, d, "corpus"), "id", "id")
 
@@ -139,7 +143,7 @@ def q_status(spark, d):
 
 QUERIES = {
     "balanced_epochs": q_balanced, "coverage_epochs": q_coverage, "exposure_histogram": q_exposure, "mixture_validate": q_validate, "slot_order": q_slots, "factorial_epochs": q_factorial,
-    "balanced_epochs_whole": q_balanced_whole, "coverage_epochs_whole": q_coverage_whole, "exposure_histogram_whole": q_exposure_whole, "mixture_validate_whole": q_validate_whole, "slot_order_whole": q_slots_whole, "factorial_epochs_whole": q_factorial_whole, "order_digest": q_digest, "run_audit": q_audit, "full_audit": q_full_audit,
+    "balanced_epochs_whole": q_balanced_whole, "coverage_epochs_whole": q_coverage_whole, "exposure_histogram_whole": q_exposure_whole, "mixture_validate_whole": q_validate_whole, "slot_order_whole": q_slots_whole, "factorial_epochs_whole": q_factorial_whole, "mixture_manifest": q_manifest, "order_digest": q_digest, "run_audit": q_audit, "full_audit": q_full_audit,
     "file_inventory": q_inventory, "multiset_equality": q_same, "canonical_json": q_json, "token_confidence": q_confidence, "strip_diacritics": q_strip, "format_duration": q_duration, "generation_status": q_status,
 }
 
@@ -178,6 +182,7 @@ ORACLE = {
     "mixture_validate_whole": f"WITH {_EPOCHS_W}, s AS (SELECT epoch, count(*) AS n, count(DISTINCT id) AS d FROM e GROUP BY 1) SELECT count(*) AS n_epochs, count_if(n <> (SELECT per FROM z))::BIGINT AS wrong_size, count_if(n <> d)::BIGINT AS with_repeats, (SELECT count(*) FROM e WHERE id NOT IN (SELECT id FROM i)) AS foreign_ids, (SELECT count(*) FROM i WHERE id NOT IN (SELECT id FROM e)) AS unused_ids FROM s",
     "slot_order_whole": f"""WITH {_EPOCHS_W}, x AS (SELECT epoch, g.id, 'gold' AS label_source, g.id AS place FROM (SELECT DISTINCT epoch FROM e), (SELECT id FROM gold WHERE split = 'dev') g UNION ALL SELECT epoch, id, 'pseudo', (row_number() OVER (PARTITION BY epoch ORDER BY id))::VARCHAR FROM e)
  SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY sha256('{SEED}:' || epoch || ':' || label_source || ':' || place), id) - 1 AS slot, id, label_source FROM x""",
+    "mixture_manifest": f"WITH {_EPOCHS_W} SELECT epoch, epoch + {SEED} AS epoch_seed, count(*) AS pseudo_count, count(DISTINCT id) AS n_distinct, sum(('0x' || substr(md5(id), 1, 8))::BIGINT)::BIGINT AS digest FROM e GROUP BY epoch",
     "order_digest": "WITH r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM corpus), b AS (SELECT k // 10000 AS block, sha256(string_agg(id, ',' ORDER BY k)) AS h, count(*) AS n FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, ',' ORDER BY block)) AS digest FROM b",
     "run_audit": """WITH i AS (SELECT id, count(*) AS n FROM candidates GROUP BY 1), a AS (SELECT count(*) AS n_rows, bool_and(model_a_confidence IS NOT NULL AND NOT isnan(coalesce(model_a_confidence, 0))) AS confidence_finite, bool_and((generation_status = 'generated_text') = (length(trim(coalesce(candidate_text, ''), ' ')) > 0)) AS status_fits_text,
  bool_and(regexp_matches(generation_config_hash, '^[a-f0-9]{64}$')) AS hash_form, bool_and(sequence_token_count >= 1) AS token_count_positive, count(DISTINCT generation_config_hash) AS n_configs, count(DISTINCT candidate_checkpoint) AS n_checkpoints, (SELECT count(*) FROM i) AS n_ids, (SELECT count(*) FROM i WHERE n > 1) AS n_repeated_ids FROM candidates)
