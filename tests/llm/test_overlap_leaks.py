@@ -70,6 +70,16 @@ def test_overlap_recall_with_regular_changes(frame):
     assert all(g.n_equal == g.n_words - g.distance for k, g in got.items() if k in want)
 
 
+def test_overlap_with_other_shares(frame):
+    """Short texts against brute force where a half or a third of the words may differ."""
+    r = random.Random(9)
+    rows = [(f"{k}{i}", k, " ".join(r.choice("ab cd ef gh ij".split()) for _ in range(r.randint(1, 7)))) for i in range(40) for k in ("train", "dev")]
+    df = frame(rows, "id string, split string, x string")
+    for share in (2, 3):
+        want = {(a, b) for a, s, x in rows for b, t, y in rows if s == "dev" and t == "train" and lev(x.split(), y.split()) * share <= max(len(x.split()), len(y.split()))}
+        assert {(g.eval_id, g.train_id) for g in split_overlap.overlaps(df, "id", "x", "split", share=share).collect()} == want
+
+
 def test_overlap_of_hot_and_repetitive_texts(frame):
     """A phrase in all records of both sides, and long texts of one word, cost no pair and make no product."""
     r = random.Random(6)

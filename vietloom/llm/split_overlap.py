@@ -118,7 +118,8 @@ _SEED = "g long, a long, b long, n int, p array<int>, " + ", ".join(f"s{j} long"
 
 
 def need(n: np.ndarray, share: int) -> np.ndarray:
-    """Windows of a record of ``n`` words: two more than the edits it allows; none where it allows no edit."""
+    """Windows of a record of ``n`` words: two more than the edits it allows, or all of its words if that is less; none
+    where it allows no edit."""
     return np.where(n >= share, np.minimum(n // share + 2, n), 0)
 
 
@@ -164,8 +165,8 @@ def _candidates(long: DataFrame, short: DataFrame, share: int, ties: bool) -> Da
     long_enough = (F.col("n1") - F.col("n2") <= k) & (F.col("n1") >= F.col("n2") if ties else F.col("n1") > F.col("n2"))
     other = (F.col("a1") != F.col("a2")) | (F.col("b1") != F.col("b2"))
     hits = x.hint("merge").join(y, ["g", "l"]).where(long_enough & other & near & (missing(1, 2) <= k) & (missing(2, 1) <= k))
-    pairs = hits.groupBy("a1", "b1", "a2", "b2").agg(F.sum(F.least(F.size("p1"), F.size("p2"))).alias("shared"), F.collect_list(F.struct("p1", "p2")).alias("seeds"))
-    return pairs.where("shared >= 2").drop("shared")
+    pairs = hits.groupBy("a1", "b1", "a2", "b2").agg(F.sum(F.least(F.size("p1"), F.size("p2"))).alias("shared"), F.first("n1").alias("n1"), F.collect_list(F.struct("p1", "p2")).alias("seeds"))
+    return pairs.where(F.col("shared") >= F.least(F.lit(2), F.col("n1") - k)).drop("shared", "n1")
 
 
 def _chained(batches):
@@ -174,7 +175,7 @@ def _chained(batches):
         keep = []
         for n, m, k, seeds in zip(*(t.column(c).to_pylist() for c in ("n1", "n2", "k", "seeds")), strict=True):
             size = sum(len(s["p1"]) * len(s["p2"]) for s in seeds)
-            keep.append(size > CELLS or chain([(a, b) for s in seeds for a in s["p1"] for b in s["p2"]], n, m, k) >= 2)
+            keep.append(size > CELLS or chain([(a, b) for s in seeds for a in s["p1"] for b in s["p2"]], n, m, k) >= min(2, n - k))
         t = t.filter(pa.array(keep, pa.bool_()))
         xs, ys = ([f[o[i] : o[i + 1]] for i in range(t.num_rows)] for o, f in (ragged(t.column("w1")), ragged(t.column("w2"))))
         k = t.column("k").to_numpy().astype(np.int64)
