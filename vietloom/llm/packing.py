@@ -5,7 +5,7 @@ packing is the histogram of sizes, which has at most ``capacity`` rows however m
 it, many equal containers at a time: a container opens with the largest size left in the bin size of least cost per
 token it can fill, then takes the size that leaves least room, by the table of sums that the sizes left can reach.
 At last each container is downsized to the least permitted length that holds its contents. Items find their places by
-rank within their size, so the assignment is a range join of ranks, pre-counted per partition.
+rank within their size, pre-counted per partition, and a look-up of the rank among the plan's ranges.
 
 Cases: sizes 0 and null take no space and go by hash to the containers of the first kind (container 1 if there are none);
 equal sizes are placed by id; ids that repeat are items of their own; an empty table gives no rows.
@@ -14,6 +14,7 @@ equal sizes are placed by id; ids that repeat are items of their own; an empty t
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def histogram(items: DataFrame) -> dict[int, int]:
 
 def pack(df: DataFrame, id_col: str, size: str, lengths: tuple[int, ...] = LENGTHS, per_task: int = 1_000_000, overhead: int | None = None) -> DataFrame:
     """(id, piece, start, size, container, length): where each piece lies; ``overhead`` as in :func:`plan`."""
-    spark, cap = df.sparkSession, max(lengths)
+    cap = max(lengths)
     items = pieces(df, id_col, size, cap)
     counts = histogram(items)
     parts = max(64, -(-max(counts.values(), default=0) // per_task))  # rows of one size are ranked in so many parts
@@ -137,12 +138,20 @@ def pack(df: DataFrame, id_col: str, size: str, lengths: tuple[int, ...] = LENGT
             rows.append((s, used[s], used[s] + n * times, first, n, length))
             used[s] += n * times
         first += times
-    slots = spark.createDataFrame(rows, "size int, low long, high long, first long, each long, length int")
-    # a size has many ranges: one array a size, searched by rank, keeps this an equi-join
-    table = slots.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first", "each", "length"))).alias("ranges"))
-    r = ranked(items.where("size > 0"), "size", [id_col, "piece"], parts).join(F.broadcast(table), "size")
-    hit = F.filter("ranges", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") < x["high"]))[0]
-    r = r.withColumn("h", hit).select(id_col, "piece", "start", "size", (F.col("h.first") + F.floor((F.col("rank") - F.col("h.low")) / F.col("h.each"))).cast("long").alias("container"), F.col("h.length").alias("length"))
+    # a plan has some thousand ranges of ranks at most, whatever the number of items: looked up by binary search
+    table = np.array(sorted(rows), np.int64).reshape(-1, 6)
+    keys = (table[:, 0] << 44) | table[:, 1]
+    kind = dict(items.dtypes)[id_col]
+
+    def place(batches):
+        for b in batches:
+            size, rank = (b.column(c).to_numpy().astype(np.int64) for c in ("size", "rank"))
+            at = np.searchsorted(keys, (size << 44) | rank, "right") - 1
+            container = table[at, 3] + (rank - table[at, 1]) // table[at, 4]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(container), pa.array(table[at, 5].astype(np.int32))], names=[id_col, "piece", "start", "size", "container", "length"])
+
+    r = ranked(items.where("size > 0"), "size", [id_col, "piece"], parts).select(id_col, "piece", "start", "size", "rank")
+    r = r.mapInArrow(place, f"`{id_col}` {kind}, piece int, start long, size int, container long, length int")
     n_first, length = (rows[0][2] - rows[0][1]) // rows[0][4] if rows else 1, rows[0][5] if rows else min(lengths)
     none = items.where("size = 0").select(id_col, "piece", "start", "size", (F.pmod(F.xxhash64(id_col), F.lit(n_first)) + 1).cast("long").alias("container"), F.lit(length).alias("length"))
     return r.unionByName(none)
