@@ -16,14 +16,23 @@ def score(rows):
     return {"f1": 2 * pr * re / (pr + re) if pr + re else 0.0, "ERR": (lai - sys) / lai if lai else 0.0}
 
 
-def poisson(digest):
-    u, k, p = int(digest[:8], 16) / 2**32, 0, 1 / math.e
-    while u >= p and k < 10:
+def draws(row, rep, prime=2**31 - 1):
+    """The draw written out: squarings modulo a prime, then the Poisson distribution turned around."""
+    a = (row + (rep + 1) * 1664525) % prime
+    b = (a * a + row) % prime
+    c = (b * b + rep + 1) % prime
+    u, k, p, total = c * 48271 % prime, 0, 1 / math.e, 1 / math.e
+    while k < 10 and u >= int(total * prime):
         k += 1
-        p += 1 / math.factorial(k) / math.e
+        p /= k
+        total += p
     return k
 
 
+def number(i, seed):
+    return int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16) % (2**31 - 1)
+
+
 def test_brute_force(frame):
     r, n, seed = random.Random(4), 9, 7
     rows = []
@@ -37,7 +46,7 @@ def test_brute_force(frame):
     by = {(i, m): x for i, m, *x in rows}
     deltas = {"f1": [], "ERR": []}
     for rep in range(2000):
-        at = [k for k in range(n) for _ in range(poisson(hashlib.md5(f"{seed}:{rep}:i{k}".encode()).hexdigest()))]
+        at = [k for k in range(n) for _ in range(draws(number(f"i{k}", seed), rep))]
         a, b = (score([by[f"i{k}", m] for k in at]) for m in "ab")
         for k in deltas:
             deltas[k].append(a[k] - b[k])
@@ -49,9 +58,17 @@ def test_brute_force(frame):
     assert [x.metric for x in old] == ["ERR"] and all(abs(old[0][c] - got["ERR"][c]) < 1e-9 for c in ("mean", "low", "high"))
 
 
-def test_weights_are_poisson():
-    w = [poisson(hashlib.md5(str(i).encode()).hexdigest()) for i in range(20_000)]
-    assert abs(sum(w) / len(w) - 1) < 0.03 and abs(sum((x - 1) ** 2 for x in w) / len(w) - 1) < 0.05
+def test_draws_are_poisson_and_unrelated():
+    rows, reps = [number(f"i{i}", 1) for i in range(300)], range(200)
+    w = [[draws(x, r) for x in rows] for r in reps]
+    flat = [v for line in w for v in line]
+    assert abs(sum(flat) / len(flat) - 1) < 0.02 and abs(sum((v - 1) ** 2 for v in flat) / len(flat) - 1) < 0.05
+    sums = [sum(line) for line in w]  # of 300 unrelated draws: variance 300
+    assert abs(sum((s - 300) ** 2 for s in sums) / len(sums) - 300) < 100
+    near = [sum((a - 1) * (b - 1) for a, b in zip(w[i], w[i + 1], strict=True)) / 300 for i in range(199)]  # replicates side by side
+    cols = list(zip(*w, strict=True))
+    beside = [sum((a - 1) * (b - 1) for a, b in zip(cols[i], cols[i + 1], strict=True)) / 200 for i in range(299)]
+    assert abs(sum(near) / len(near)) < 0.02 and abs(sum(beside) / len(beside)) < 0.02
 
 
 def test_query_has_both_metrics(spark, tmp_path):

@@ -76,10 +76,23 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 POISSON = [sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(10)]
 
 
-def weight(replicate: Column, row: Column, seed: int) -> Column:
-    """How often a bootstrap replicate takes a row: Poisson(1) by a hash of both, so all arms and engines draw alike."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), row.cast("string"))), 1, 8), 16, 10).cast("long")
-    return sum((u >= int(p * 2**32)).cast("int") for p in POISSON)
+#: A prime below 2^31, so that a product of two residues fits 64 bits in every engine.
+PRIME = 2**31 - 1
+
+
+def weight(replicate: Column, row: Column) -> Column:
+    """How often a bootstrap replicate takes a row: Poisson(1) from a few squarings modulo a prime of both numbers, so
+    all arms and engines draw alike and a draw costs no text function. ``row`` is :func:`row_number_of`."""
+    a = (row + (replicate + 1) * 1664525) % PRIME
+    b = (a * a + row) % PRIME
+    c = (b * b + replicate + 1) % PRIME
+    u = (c * 48271) % PRIME
+    return let(u, lambda v: sum((v >= int(p * PRIME)).cast("int") for p in POISSON))
+
+
+def row_number_of(id_col: Column, seed: int) -> Column:
+    """A number below :data:`PRIME` for an id, from its MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), id_col.cast("string"))), 1, 8), 16, 10).cast("long") % PRIME
 
 
 def f1(gold: Column, predicted: Column, correct: Column) -> Column:
@@ -99,7 +112,8 @@ def bootstrap(stats: DataFrame, a: str, b: str, replicates: int, seed: int) -> D
     arms = [c for c in ("predicted_edits", "correct_edits", "system_token_errors") if c in stats.columns]
     names = [*both, *[f"{c}_{k}" for k in "ab" for c in arms]]
     x = stats.where(F.col("model").isin(a, b)).groupBy("id").agg(*[F.max(c).alias(c) for c in both], *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{k}") for m, k in ((a, "a"), (b, "b")) for c in arms])
-    each = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", weight(F.col("rep"), F.col("id"), seed))
+    x = x.select(row_number_of(F.col("id"), seed).alias("row"), *names).repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: on all cores
+    each = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("rep")).withColumn("w", weight(F.col("rep"), F.col("row")))
     s = each.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
     deltas = []
     if "correct_edits" in arms:

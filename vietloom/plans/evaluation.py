@@ -283,7 +283,10 @@ y AS (SELECT *, CASE WHEN decision IS NULL THEN 'missing_valid_review' WHEN deci
  CASE WHEN length(target) / greatest(1, length(input_text)) NOT BETWEEN 0.5 AND 2.0 THEN 'length_ratio' END AS late FROM x),
 z AS (SELECT *, min(CASE WHEN early IS NULL AND late IS NULL THEN id END) OVER (PARTITION BY input_text) AS first_ok FROM y),
 w AS (SELECT id, original_source, decision, coalesce(early, CASE WHEN first_ok < id THEN 'duplicate_input' END, late, 'accepted') AS reason FROM z)"""
-_weight_sql = "(" + " + ".join(f"(('0x' || substr(md5('{SEED}:' || rep || ':' || id), 1, 8))::BIGINT >= {int(p * 2**32)})::INT" for p in E.POISSON) + ")"
+_ROW_SQL = f"(('0x' || substr(md5('{SEED}:' || id), 1, 8))::BIGINT % {E.PRIME})"
+# draws of the table "each" (row x, replicate rep) by the same squarings
+_DRAWS = f"""e1 AS (SELECT *, (x + (rep + 1) * 1664525) % {E.PRIME} AS a FROM each), e2 AS (SELECT *, (a * a + x) % {E.PRIME} AS b2 FROM e1), e3 AS (SELECT *, (b2 * b2 + rep + 1) % {E.PRIME} AS c2 FROM e2), e4 AS (SELECT *, (c2 * 48271) % {E.PRIME} AS u FROM e3),
+ d AS (SELECT *, {" + ".join(f"(u >= {int(p * E.PRIME)})::INT" for p in E.POISSON)} AS w FROM e4)"""
 _INTERVAL = "o AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY delta, rep) - 1 AS k, count(*) OVER (PARTITION BY metric) AS n FROM q), i AS (SELECT metric, count(*) AS replicates, round(avg(delta), 9) AS mean, round(max(CASE WHEN k = floor(0.025 * (n - 1)) THEN delta END), 9) AS low, round(max(CASE WHEN k = floor(0.975 * (n - 1)) THEN delta END), 9) AS high FROM o GROUP BY 1)"
 _f1_sql = lambda g, p, c: f"CASE WHEN {g} + {p} = 0 OR {c} = 0 THEN 0 ELSE 2 * ({c} / nullif({p}, 0)) * ({c} / nullif({g}, 0)) / ({c} / nullif({p}, 0) + {c} / nullif({g}, 0)) END"
 _NUMBERED = f"w AS (SELECT id, {_TOK('target_text')} AS w FROM gold), t AS (SELECT id, w[i + 1] || '#' || i AS t, i FROM (SELECT id, w, unnest(range(len(w))) AS i FROM w))"
@@ -304,10 +307,10 @@ ORACLE = {
     "pairwise_winner": f"WITH {_PRED}, e AS (SELECT id, max(CASE WHEN model = 'model_c' THEN (p = t)::INT END) AS a, max(CASE WHEN model = 'model_b' THEN (p = t)::INT END) AS b FROM p GROUP BY 1) SELECT id, CASE WHEN a > b THEN 'model_c' WHEN a < b THEN 'model_b' ELSE 'tie' END AS winner FROM e",
     "model_deltas": f"WITH {_STATS}, v AS (SELECT max(CASE WHEN model = 'model_a' THEN \"ERR\" END) AS ea, max(CASE WHEN model = 'model_b' THEN \"ERR\" END) AS eb, max(CASE WHEN model = 'model_c' THEN \"ERR\" END) AS ec, max(CASE WHEN model = 'model_a' THEN exact_match END) AS xa, max(CASE WHEN model = 'model_b' THEN exact_match END) AS xb, max(CASE WHEN model = 'model_c' THEN exact_match END) AS xc FROM mm) SELECT round(ec - ea, 9) AS \"ERR_c_minus_a\", round(ec - eb, 9) AS \"ERR_c_minus_b\", round(xc - xa, 9) AS exact_match_c_minus_a, round(xc - xb, 9) AS exact_match_c_minus_b FROM v",
     "bootstrap_ci": f"""WITH {_STATS}, x AS (SELECT id, max(lai) AS lai, max(CASE WHEN model = 'model_c' THEN sys END) AS ea, max(CASE WHEN model = 'model_b' THEN sys END) AS eb FROM st WHERE model IN ('model_b', 'model_c') GROUP BY id),
- d AS (SELECT rep, x.*, {_weight_sql} AS w FROM x, range({REPLICATES}) a(rep)),
+ each AS (SELECT {_ROW_SQL} AS x, rep, lai, ea, eb FROM x, range({REPLICATES}) a(rep)), {_DRAWS},
  s AS (SELECT rep, sum(w * lai)::DOUBLE AS lai, sum(w * ea)::DOUBLE AS ea, sum(w * eb)::DOUBLE AS eb FROM d GROUP BY 1), q AS (SELECT 'ERR' AS metric, rep, CASE WHEN lai = 0 THEN 0 ELSE (lai - ea) / lai - (lai - eb) / lai END AS delta FROM s), {_INTERVAL}
  SELECT replicates, mean, low, high FROM i""",
-    "bootstrap_ci_deltas": f"""WITH {_BUILT}, d AS (SELECT rep, n6, n12, n3, b, {_weight_sql} AS w FROM k, range({RESAMPLES}) a(rep)),
+    "bootstrap_ci_deltas": f"""WITH {_BUILT}, each AS (SELECT {_ROW_SQL} AS x, rep, n6, n12, n3, b FROM k, range({RESAMPLES}) r(rep)), {_DRAWS},
  s AS (SELECT rep, sum(w * n6)::DOUBLE AS g, sum(w * (n12 + n3))::DOUBLE AS pc, sum(w * n12)::DOUBLE AS cc, sum(w * b * n6)::DOUBLE AS pb, sum(w * (n6 - n12 + n3))::DOUBLE AS ec, sum(w * (1 - b) * n6)::DOUBLE AS eb FROM d GROUP BY 1),
  q AS (SELECT 'f1' AS metric, rep, {_f1_sql("g", "pc", "cc")} - {_f1_sql("g", "pb", "pb")} AS delta FROM s UNION ALL SELECT 'ERR', rep, CASE WHEN g = 0 THEN 0 ELSE (g - ec) / g - (g - eb) / g END FROM s), {_INTERVAL}
  SELECT * FROM i""",
