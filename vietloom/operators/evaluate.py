@@ -80,14 +80,17 @@ POISSON = [sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in ra
 PRIME = 2**31 - 1
 
 
-def weight(replicate: Column, row: Column) -> Column:
-    """How often a bootstrap replicate takes a row: Poisson(1) from a few squarings modulo a prime of both numbers, so
-    all arms and engines draw alike and a draw costs no text function. ``row`` is :func:`row_number_of`."""
-    a = (row + (replicate + 1) * 1664525) % PRIME
-    b = (a * a + row) % PRIME
-    c = (b * b + replicate + 1) % PRIME
-    u = (c * 48271) % PRIME
-    return let(u, lambda v: sum((v >= int(p * PRIME)).cast("int") for p in POISSON))
+def drawn(df: DataFrame, replicate: str, row: str) -> DataFrame:
+    """Adds ``w``, how often a bootstrap replicate takes a row: Poisson(1) from a few squarings modulo a prime of both
+    numbers, so all arms and engines draw alike and a draw costs no text function. ``row`` is :func:`row_number_of`.
+    Each step is a column, so that compiled code makes it once."""
+    r, i = F.col(row), F.col(replicate) + 1
+    x = df.withColumn("_a", (r + i * 1664525) % PRIME).withColumn("_a", (F.col("_a") * F.col("_a") + r) % PRIME)
+    x = x.withColumn("_a", (F.col("_a") * F.col("_a") + i) % PRIME).withColumn("_a", (F.col("_a") * 48271) % PRIME)
+    w = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        w = F.when(F.col("_a") < int(POISSON[k] * PRIME), k).otherwise(w)
+    return x.withColumn("w", w).drop("_a")
 
 
 def row_number_of(id_col: Column, seed: int) -> Column:
@@ -113,7 +116,8 @@ def bootstrap(stats: DataFrame, a: str, b: str, replicates: int, seed: int) -> D
     names = [*both, *[f"{c}_{k}" for k in "ab" for c in arms]]
     x = stats.where(F.col("model").isin(a, b)).groupBy("id").agg(*[F.max(c).alias(c) for c in both], *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{k}") for m, k in ((a, "a"), (b, "b")) for c in arms])
     x = x.select(row_number_of(F.col("id"), seed).alias("row"), *names).repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: on all cores
-    each = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("rep")).withColumn("w", weight(F.col("rep"), F.col("row")))
+    each = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("rep"))
+    each = drawn(each, "rep", "row")
     s = each.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
     deltas = []
     if "correct_edits" in arms:
