@@ -3,7 +3,8 @@
 A noisy channel is inverted first: spans with separators or masks inside words, digits for letters or letters spaced
 apart become a lattice of what each character may stand for, and Viterbi takes the best path under a character
 trigram model of the corpus, in which labelled abusive rows weigh more. The restored text is scored by a logistic
-model over runs of one to four words, fitted on the labelled table (at most ``LABELLED`` rows).
+model over runs of one to four words, fitted on all rows of the labelled table: on the driver where they are few
+(``LABELLED``), else in the tasks, with the same sums to the bit.
 
 Cases: null and blank texts score by the model's base rate and are never found; composed and decomposed text are read
 alike; rows that repeat score the same; very long texts are scored whole.
@@ -20,9 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, codes, grams, in_slices, mix, word_rows
+from ..session import scratch, written
+from .common import U, as_long, codes, grams, in_slices, lists, mix, owners, ragged, word_rows
 
+#: Up to so many labelled rows (of 200 characters on average) are held by the driver while fitting; more stay in the tasks.
 LABELLED = 20_000
+#: Penalty on squared weights, and the weight below which a run is left out of the model.
+L2, LIVE = 0.0005, 1e-3
+#: Errors are summed in this fixed point: whole numbers add up alike in any order.
+ONE = 2.0**28
+#: Sums of so many runs go from task to task as one value.
+PIECE = 1 << 16
 ALPHABET = " abcdefghijklmnopqrstuvwxyz"
 S = len(ALPHABET)
 #: What signs and digits stand for in disguised words.
@@ -221,6 +230,65 @@ def runs(off: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hs)
 
 
+def distinct_runs(off: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the different runs of each row, in order."""
+    row, g = runs(off, h)
+    at = np.lexsort((g, row))
+    row, g = row[at], g[at]
+    new = np.ones(len(g), bool)
+    new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1])
+    return row[new], g[new]
+
+
+def pull(r: np.ndarray, f: np.ndarray, y: np.ndarray, m: np.ndarray, v: np.ndarray, bias: float) -> np.ndarray:
+    """What examples (``m`` rows each, label ``y``) with runs ``(r, f)`` pull at weights ``v``: the sum of errors of each
+    run, of all rows, and the loss, in fixed point."""
+    z = np.bincount(r, v[f], len(y)) + bias
+    e = np.rint(m * (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * ONE)
+    loss = np.rint(m * (np.logaddexp(0, z) - y * z) * ONE)
+    return np.concatenate([np.bincount(f, e[r], len(v)), [e.sum(), loss.sum()]]).astype(np.int64)
+
+
+def descend(pulls, scale: np.ndarray, rows: int, mean: float, near: float = 1e-7, passes: int = 1000, kept: int = 5) -> tuple[np.ndarray, float]:
+    """(weights, bias) of least mean loss and penalty, by L-BFGS; ``pulls(weights, bias)`` is a pass over all examples."""
+
+    def at(x):
+        p = pulls(x[:-1] * scale, x[-1])
+        return p[-1] / ONE / rows + L2 / 2 * (x[:-1] @ x[:-1]), np.append(L2 * x[:-1] - p[:-2] * scale / ONE / rows, -p[-2] / ONE / rows)
+
+    x = np.append(np.zeros(len(scale)), np.log((mean + 1e-3) / (1 - mean + 1e-3)))
+    loss, grad = at(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    while np.abs(grad).max() > near and passes > 0:
+        q, back = grad.copy(), []
+        for s, d, c in reversed(past):
+            back.append(c * (s @ q))
+            q -= back[-1] * d
+        if past:
+            q *= 1 / (past[-1][2] * (past[-1][1] @ past[-1][1]))
+        for (s, d, c), a in zip(past, reversed(back), strict=True):
+            q += s * (a - c * (d @ q))
+        slope, step = grad @ q, 1.0
+        while True:
+            to = x - step * q
+            there, g = at(to)
+            passes -= 1
+            if there <= loss - 1e-4 * step * slope + 1e-9 or passes <= 0:
+                break
+            step /= 2
+        s, d = to - x, g - grad
+        if s @ d > 0:
+            past = [*past, (s, d, 1 / (s @ d))][-kept:]
+        x, loss, grad = to, there, g
+    return x[:-1] * scale, float(x[-1])
+
+
+def may_live(n, pos, weight, rows):
+    """Whether a run can reach a weight of ``LIVE``: at the least loss a weight times ``L2`` is the run's mean error times
+    its squared room, and no row errs by more than one. Numbers or columns."""
+    return weight > LIVE * L2 * rows * (1 + n - pos)
+
+
 class Scorer:
     """Logistic model over the presence of word runs."""
 
@@ -231,28 +299,82 @@ class Scorer:
         self.known[(self.keys & U((1 << 20) - 1)).astype(np.int64)] = True
 
     @classmethod
-    def fit(cls, off: np.ndarray, h: np.ndarray, y: np.ndarray, least: int = 2, l2: float = 0.005, epochs: int = 1000, rate: float = 0.5) -> Scorer:
-        row, g = runs(off, h)
-        pairs = np.unique(np.stack([g, row.astype(U)], 1), axis=0)
-        keys, inv, n = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-        keep = n[inv] >= least
-        r, f = pairs[keep, 1].astype(np.int64), inv[keep]
-        pos = np.bincount(f, y[r].astype(float), len(keys))
+    def of(cls, keys: np.ndarray, n: np.ndarray, pos: np.ndarray, rows: int, mean: float, pulls) -> Scorer:
+        """The model over runs ``keys``, each in ``n`` examples, ``pos`` of them abusive."""
         # a run seen in innocent rows too says little: it gets less room to grow
-        scale = np.sqrt(1.0 / (1.0 + (n - pos)))
-        w, bias = np.zeros(len(keys)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        m = np.zeros(len(keys))
-        for _ in range(epochs):
-            z = np.bincount(r, (w * scale)[f], len(y)) + bias
-            e = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            grad = np.bincount(f, e[r], len(keys)) * scale / len(y) - l2 * w / 10
-            m = 0.9 * m + grad
-            w += rate * m
-            bias += rate * e.mean()
-        w = w * scale
-        live = np.abs(w) > 1e-3
+        w, bias = descend(pulls, np.sqrt(1.0 / (1.0 + (n - pos))), rows, mean)
+        live = np.abs(w) > LIVE
         return cls(keys[live], w[live], bias)
 
+    @classmethod
+    def fit(cls, off: np.ndarray, h: np.ndarray, y: np.ndarray, m: np.ndarray | None = None, least: int = 2) -> Scorer:
+        """From different examples in memory, ``m`` rows each."""
+        m = np.ones(len(y), np.int64) if m is None else m
+        row, g = distinct_runs(off, h)
+        keys, f, n = np.unique(g, return_inverse=True, return_counts=True)
+        pos, weight, rows = np.bincount(f, y[row], len(keys)), np.bincount(f, m[row], len(keys)), max(int(m.sum()), 1)
+        keep = (n >= least) & may_live(n, pos, weight, rows)
+        ok = keep[f]
+        r, f = row[ok], (np.cumsum(keep) - 1)[f[ok]]
+        return cls.of(keys[keep], n[keep], pos[keep], rows, float((m * y).sum()) / rows, lambda v, bias: pull(r, f, y, m, v, bias))
+
+    @classmethod
+    def fit_table(cls, examples: DataFrame, channel: Channel, least: int = 2) -> Scorer:
+        """From a table (t, y, m) of different examples: runs stay in the tasks, sums by run reach the driver."""
+
+        def read(batches):
+            for b in batches:
+                for part, texts in in_slices(b, "t"):
+                    row, g = distinct_runs(*word_rows(restore_all(texts, channel), squeeze=True))
+                    off = np.searchsorted(row, np.arange(len(texts) + 1))
+                    yield pa.RecordBatch.from_arrays([part.column("y"), part.column("m"), lists(off, as_long(g))], names=["y", "m", "g"])
+
+        table = written(examples.mapInArrow(read, "y double, m long, g array<long>"), "labelled")
+        total = table.agg(F.coalesce(F.sum("m"), F.lit(1)).alias("m"), F.coalesce(F.sum(F.col("m") * F.col("y")), F.lit(0.0)).alias("y")).first()
+        seen = table.select("y", "m", F.explode("g").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum("m").alias("weight"))
+        seen = seen.where((F.col("n") >= least) & may_live(F.col("n"), F.col("pos"), F.col("weight"), total["m"])).select("g", "n", "pos").toArrow()
+        keys = seen["g"].to_numpy().view(U)
+        order = np.argsort(keys)
+        keys, n, pos = keys[order], seen["n"].to_numpy()[order], seen["pos"].to_numpy()[order]
+
+        def number(batches):
+            for b in batches:
+                off, g = ragged(b.column("g"))
+                g = g.view(U)
+                at = np.searchsorted(keys, g).clip(max=max(len(keys) - 1, 0))
+                ok = keys[at] == g if len(keys) else np.zeros(len(g), bool)
+                off = np.concatenate([[0], np.cumsum(ok)])[off]
+                f = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((4 * off).astype(np.int32)), pa.py_buffer(at[ok].astype(np.int32))])
+                yield pa.RecordBatch.from_arrays([b.column("y"), b.column("m"), f], names=["y", "m", "f"])
+
+        numbered = written(table.mapInArrow(number, "y double, m long, f binary"), "labelled_runs")
+        numbered = numbered.coalesce(numbered.sparkSession.sparkContext.defaultParallelism)
+
+        def pulls(v, bias):
+            size = len(v) + 2
+
+            def add(batches):
+                total = np.zeros(size, np.int64)
+                for b in batches:
+                    c = b.column("f")
+                    off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] // 4
+                    f = np.frombuffer(c.buffers()[2] or b"", np.int32)[off[0] : off[-1]]
+                    total += pull(owners(off), f, b.column("y").to_numpy(), b.column("m").to_numpy(), v, bias)
+                at = range(0, size, PIECE)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + PIECE].tobytes() for i in at], pa.binary())], names=["i", "s"])
+
+            def join(t):
+                s = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in t["s"]], 0)
+                return pa.table({"i": t["i"][:1], "s": pa.array([s.tobytes()], pa.binary())})
+
+            got = numbered.mapInArrow(add, "i int, s binary").groupBy("i").applyInArrow(join, "i int, s binary").toArrow()
+            out = np.zeros(size, np.int64)
+            for i, x in zip(got["i"].to_pylist(), got["s"], strict=True):
+                out[i : i + PIECE] = np.frombuffer(x.as_buffer(), np.int64)
+            return out
+
+        return cls.of(keys, n, pos, total["m"], total["y"] / total["m"], pulls)
+
     def score(self, off: np.ndarray, h: np.ndarray) -> np.ndarray:
         z = np.full(len(off) - 1, self.bias)
         for k in (1, 2, 3, 4):
@@ -273,16 +395,20 @@ def weighed(counts: np.ndarray, labelled: np.ndarray, share: float) -> np.ndarra
 
 
 def learn(corpus: DataFrame, text: str, labels: DataFrame, label: str, share: float = 0.5) -> tuple[Channel, Scorer]:
-    """The character model over the whole corpus and the classifier over the labelled table.
+    """The character model over the whole corpus and the classifier, both over all rows of the labelled table.
 
-    Abusive rows weigh ``share`` of the corpus in the character model, whatever the size of either.
+    Abusive rows weigh ``share`` of the corpus in the character model, whatever the size of either. Equal rows are one
+    example of the classifier that weighs as many: a run must stand in different texts to be known.
     """
-    rows = labels.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("y"))
-    table = rows.orderBy(F.xxhash64("t"), "t", "y").limit(LABELLED).toArrow()  # the bound is the parameter; the order makes it the same rows always
-    texts, y = table["t"].to_pylist(), table["y"].to_numpy().astype(float)
-    counts = trigram_counts(corpus, text)
-    channel = Channel(weighed(counts, count_trigrams([t for t, v in zip(texts, y, strict=True) if v == 1]).reshape(S, S, S).astype(np.float64), share))
-    return channel, Scorer.fit(*word_rows(restore_all(texts, channel), squeeze=True), y)
+    rows = labels.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("double").alias("y"))
+    channel = Channel(weighed(trigram_counts(corpus, text), trigram_counts(rows.where("y = 1"), "t"), share))
+    examples = rows.groupBy("t", "y").agg(F.count("*").alias("m"))
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    if n > LABELLED or chars > 200 * LABELLED:
+        with scratch():
+            return channel, Scorer.fit_table(examples.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, n // LABELLED)), channel)
+    table = examples.toArrow()
+    return channel, Scorer.fit(*word_rows(restore_all(table["t"].to_pylist(), channel), squeeze=True), table["y"].to_numpy(), table["m"].to_numpy())
 
 
 def scores(df: DataFrame, id_col: str, text: str, channel: Channel, model: Scorer) -> DataFrame:
